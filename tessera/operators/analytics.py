@@ -60,8 +60,10 @@ def topk_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     local = (salted.withColumn("_r1", F.row_number().over(w1))
              .filter(F.col("_r1") <= k).drop("_r1", "_salt"))
     w2 = Window.partitionBy(*group).orderBy(*order)
-    return (local.withColumn(rank_col, F.row_number().over(w2).cast("bigint"))
-            .filter(F.col(rank_col) <= k))
+    # Filter on the bare row_number so Catalyst can insert a WindowGroupLimit
+    # (per-partition pre-limit) ahead of the window.
+    return (local.withColumn("_r2", F.row_number().over(w2)).filter(F.col("_r2") <= k)
+            .withColumn(rank_col, F.col("_r2").cast("bigint")).drop("_r2"))
 
 
 def period_growth(df: DataFrame, part: Sequence[str], period: str, value: str,
