@@ -1 +1,170 @@
-"""placeholder"""
+"""Bindings for response post-processing (R1-R14, F12) on the derived
+``responses`` / ``attempts`` / ``samples`` views."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.functions import dialect as DL
+from tessera.functions import text as TX
+from tessera.operators import responses as R
+from tessera.plans import register
+from tessera.plans import fixtures as FX
+from tessera.plans import sqltext as S
+
+col = F.col
+RESP = FX.with_views("responses")
+EXTRACTED = f"{S.extract_sql(S.scrub('response'))}"
+
+
+def _extracted(spark, d):
+    r = FX.responses(spark, d)
+    return r.select("sample_id", "sql_context", TX.extract_sql(TX.scrub_control_chars(col("response"))).alias("sql"))
+
+
+@register("scrub_control_chars", RESP + f"SELECT sample_id, {S.scrub('response')} AS scrubbed FROM responses")
+def scrub_control_chars(spark, d):
+    return FX.responses(spark, d).select("sample_id", TX.scrub_control_chars(col("response")).alias("scrubbed"))
+
+
+@register("extract_sql", RESP + f"SELECT sample_id, {EXTRACTED} AS sql_query FROM responses")
+def extract_sql(spark, d):
+    return _extracted(spark, d).select("sample_id", col("sql").alias("sql_query"))
+
+
+@register("validate_sql", RESP + f"""SELECT sample_id, {S.is_valid_sql('x')} AS is_valid,
+ {S.validation_message('x')} AS validation_message FROM (SELECT sample_id, {EXTRACTED} AS x FROM responses)""")
+def validate_sql(spark, d):
+    e = _extracted(spark, d)
+    return e.select("sample_id", TX.is_valid_sql(col("sql")).alias("is_valid"),
+                    TX.validation_message(col("sql")).alias("validation_message"))
+
+
+@register("classify_statement", RESP + f"""SELECT {S.statement_kind('x')} AS statement_kind, count(*) AS n
+ FROM (SELECT {EXTRACTED} AS x FROM responses) WHERE x IS NOT NULL GROUP BY 1""")
+def classify_statement(spark, d):
+    e = _extracted(spark, d).filter(col("sql").isNotNull())
+    return e.groupBy(TX.statement_kind(col("sql")).alias("statement_kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("detect_token_loop", RESP + f"""SELECT sample_id, {S.count_occ('response', TX.IM_END)} AS im_end_count,
+ {S.count_occ('response', TX.END)} AS end_count, {S.is_token_loop('response')} AS is_loop,
+ {S.has_loop_marker('response')} AS has_marker, {S.response_health('response')} AS health FROM responses""")
+def detect_token_loop(spark, d):
+    r = col("response")
+    return FX.responses(spark, d).select(
+        "sample_id", TX.count_occurrences(r, TX.IM_END).alias("im_end_count"),
+        TX.count_occurrences(r, TX.END).alias("end_count"), TX.is_token_loop(r).alias("is_loop"),
+        TX.has_loop_marker(r).alias("has_marker"), TX.response_health(r).alias("health"))
+
+
+_PROMPT_SQL = "concat(coalesce(sql_context, ''), chr(10), chr(10), 'Request: ', coalesce(sql_prompt, ''))"
+
+
+def _prompts(spark, d):
+    s = FX.samples(spark, d)
+    return s.select(col("sample_id").alias("prompt_id"),
+                    F.concat(F.coalesce(col("sql_context"), F.lit("")), F.lit("\n\nRequest: "),
+                             F.coalesce(col("sql_prompt"), F.lit(""))).alias("prompt"))
+
+
+@register("resolve_attempts", FX.with_views("attempts", extra=f"""
+a AS (SELECT prompt_id, attempt, {S.strip("coalesce(response, '')")} AS r FROM attempts),
+b AS (SELECT *, {S.is_token_loop('r')} AS lp, r <> '' AND NOT {S.is_token_loop('r')} AS good FROM a),
+g AS (SELECT prompt_id, min(attempt) FILTER (WHERE good) AS good_attempt, max(attempt) AS last_attempt FROM b GROUP BY 1),
+res AS (SELECT g.prompt_id, g.good_attempt, gr.r AS good_response, g.last_attempt, lb.lp AS last_loop
+  FROM g LEFT JOIN b gr ON gr.prompt_id = g.prompt_id AND gr.attempt = g.good_attempt
+  JOIN b lb ON lb.prompt_id = g.prompt_id AND lb.attempt = g.last_attempt),
+p AS (SELECT sample_id AS prompt_id, {_PROMPT_SQL} AS prompt FROM samples)""") + f"""
+SELECT res.prompt_id,
+ CASE WHEN good_attempt IS NOT NULL THEN 'ok' WHEN last_loop THEN 'fallback' ELSE 'none' END AS outcome,
+ coalesce(good_attempt, last_attempt) AS decided_by_attempt,
+ CASE WHEN good_attempt IS NOT NULL THEN good_response WHEN last_loop THEN {S.fallback_response('p.prompt')} END AS response
+FROM res LEFT JOIN p ON p.prompt_id = res.prompt_id""")
+def resolve_attempts(spark, d):
+    return R.resolve_attempts(FX.attempts(spark, d), _prompts(spark, d))
+
+
+@register("fallback_response", FX.with_views("samples") +
+          f"SELECT sample_id, {S.fallback_response('sql_prompt')} AS fallback FROM samples")
+def fallback_response(spark, d):
+    return FX.samples(spark, d).select("sample_id", TX.fallback_response(col("sql_prompt")).alias("fallback"))
+
+
+_GATE = f"""SELECT sample_id, NOT (f) AS success,
+ CASE WHEN e THEN {S.q(R.NO_RESPONSE_ERROR)} WHEN m THEN {S.q(R.TOKEN_ISSUE_ERROR)} END AS error,
+ CASE WHEN NOT f THEN x END AS sql_query, CASE WHEN NOT f THEN sc END AS full_response,
+ CASE WHEN NOT f THEN coalesce({S.is_valid_sql('x')}, false) END AS is_valid,
+ CASE WHEN NOT f THEN (CASE WHEN x IS NULL THEN {S.q(TX.NO_SQL_MSG)} ELSE {S.validation_message('x')} END) END
+   AS validation_message
+FROM (SELECT *, e OR m AS f FROM (SELECT sample_id, response IS NULL OR response = '' AS e,
+  {S.has_loop_marker('response')} AS m, {S.scrub('response')} AS sc,
+  nullif({EXTRACTED}, '') AS x FROM responses))"""
+
+
+@register("gate_responses", RESP + _GATE)
+def gate_responses(spark, d):
+    return R.gate_responses(FX.responses(spark, d).select("sample_id", "response"))
+
+
+@register("batch_validate", RESP + f"""SELECT sample_id, s <> '' AS success,
+ CASE WHEN s = '' THEN {S.q(R.SQL_REQUIRED_ERROR)} END AS error,
+ CASE WHEN s <> '' THEN {S.is_valid_sql('s')} END AS is_valid,
+ CASE WHEN s <> '' THEN {S.validation_message('s')} END AS message
+FROM (SELECT sample_id, {S.strip(f"coalesce({EXTRACTED}, '')")} AS s FROM responses)""")
+def batch_validate(spark, d):
+    return R.batch_validate(_extracted(spark, d).select("sample_id", "sql"), "sql")
+
+
+@register("normalize_sql_case", RESP + f"""SELECT sample_id, {S.normalize_sql('x')} AS sql_key
+FROM (SELECT sample_id, {EXTRACTED} AS x FROM responses) WHERE x IS NOT NULL""")
+def normalize_sql_case(spark, d):
+    e = _extracted(spark, d).filter(col("sql").isNotNull())
+    return e.select("sample_id", TX.normalize_sql(col("sql")).alias("sql_key"))
+
+
+_LOWER_ALL = "list_transform(regexp_extract_all({x}, {p}, 1), lambda t: lower(t))"
+
+
+def _ground_sql() -> str:
+    refs = _LOWER_ALL.format(x="x", p=S.q(R.TABLE_REF_RE))
+    decl = _LOWER_ALL.format(x="sql_context", p=S.q(R.CREATE_TABLE_RE))
+    ctes = _LOWER_ALL.format(x="x", p=S.q(R.CTE_NAME_RE))
+    return f"""SELECT sample_id, unnest(list_distinct(list_filter({refs},
+  lambda t: NOT list_contains(list_concat({decl}, {ctes}), t)))) AS table_name
+FROM (SELECT sample_id, sql_context, {EXTRACTED} AS x FROM responses) WHERE x IS NOT NULL"""
+
+
+@register("schema_grounding", RESP + _ground_sql())
+def schema_grounding(spark, d):
+    e = _extracted(spark, d).filter(col("sql").isNotNull())
+    return R.schema_grounding(e, "sql", "sql_context")
+
+
+@register("drop_ungrounded_joins")  # Java look-ahead: no RE2 oracle; unit-tested
+def drop_ungrounded_joins(spark, d):
+    e = _extracted(spark, d).filter(col("sql").isNotNull())
+    return R.drop_ungrounded_joins(e, "sql", "sql_context").select("sample_id", "sql", "grounded_sql")
+
+
+@register("dialect_normalize", FX.with_views("samples") + f"""SELECT sql, {DL.dialect_normalize_sql('sql')} AS spark_sql,
+ {DL.dialect_normalize_sql('sql')} <> sql AS rewritten FROM (SELECT DISTINCT sql FROM samples)""")
+def dialect_normalize(spark, d):
+    # de-duplicate first: a corpus repeats the same query text many times
+    q = FX.samples(spark, d).select("sql").distinct()
+    return q.select("sql", DL.dialect_normalize(col("sql")).alias("spark_sql")) \
+        .withColumn("rewritten", col("spark_sql") != col("sql"))
+
+
+@register("dialect_usage", FX.with_views("samples") + " UNION ALL ".join(
+    f"SELECT '{n}' AS idiom, count(*) FILTER (WHERE regexp_matches(sql, {S.q(p)})) AS n_queries FROM samples"
+    for n, p in DL.IDIOMS))
+def dialect_usage(spark, d):
+    return R.dialect_usage(FX.samples(spark, d), "sql")
+
+
+@register("ddl_cleanup", FX.with_views("samples") + f"""SELECT sql_context,
+ {DL.dialect_normalize_sql('sql_context', DL.DDL_RULES)} AS clean_ddl FROM (SELECT DISTINCT sql_context FROM samples)""")
+def ddl_cleanup(spark, d):
+    c = FX.samples(spark, d).select("sql_context").distinct()
+    return c.select("sql_context", DL.ddl_cleanup(col("sql_context")).alias("clean_ddl"))
