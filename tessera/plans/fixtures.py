@@ -156,3 +156,28 @@ def with_views(*names: str, extra: str | None = None) -> str:
     if extra:
         parts.append(extra)
     return "WITH " + ",\n".join(parts) + "\n"
+
+
+# Expected keywords per gold-query family (doc_id % 5), fixed values of the fixture.
+KEYWORDS = [
+    ["SELECT", "FROM", "users", "WHERE", "created_at"],
+    ["SELECT", "JOIN", "SUM", "GROUP BY", "ORDER BY", "LIMIT"],
+    ["SELECT", "SUM", "GROUP BY", "region"],
+    ["SELECT", "JOIN", "patients", "appointments", "65"],
+    ["SELECT", "JOIN", "suppliers", "stock_quantity", "< 10"],
+]
+
+
+def keywords_col(key="sample_id"):
+    k = F.col(key) % 5
+    e = None
+    for i, kws in enumerate(KEYWORDS):
+        arr = F.array(*[F.lit(x) for x in kws])
+        e = F.when(k == i, arr) if e is None else e.when(k == i, arr)
+    return e
+
+
+def keywords_sql(key="sample_id") -> str:
+    arms = " ".join(f"WHEN {i} THEN [" + ", ".join(f"'{x}'" for x in kws) + "]"
+                    for i, kws in enumerate(KEYWORDS))
+    return f"CASE {key} % 5 {arms} END"
