@@ -1 +1,64 @@
-"""placeholder"""
+"""Bindings for DDL processing (D1-D5) on ``samples.sql_context``."""
+
+from __future__ import annotations
+
+from tessera.operators import ddl as D
+from tessera.plans import register
+from tessera.plans import fixtures as FX
+from tessera.plans.sqltext import q, strip
+
+STMTS = f"list_filter(list_transform(string_split(sql_context, ';'), lambda s: {strip('s')}), lambda s: s <> '')"
+
+
+def _mask(x: str) -> str:
+    for _ in range(D.MASK_PASSES):
+        x = f"regexp_replace({x}, {q(D.PAREN_COMMA_RE)}, '(\\1' || chr(1), 'g')"
+    return x
+
+
+def _first(p: str) -> str:
+    return f"regexp_replace(regexp_split_to_array({p}, '\\s+')[1], {q(D.QUOTES_RE)}, '', 'g')"
+
+
+_SKIP = "[" + ", ".join(f"'{w}'" for w in D.CONSTRAINT_WORDS) + "]"
+_CTE = FX.with_views("samples", extra=f"""
+st AS (SELECT sample_id, unnest({STMTS}) AS statement, unnest(generate_series(0, len({STMTS}) - 1)) AS stmt_pos FROM samples),
+tb AS (SELECT sample_id, stmt_pos, regexp_extract(statement, {q(D.CREATE_RE)}, 1) AS table_name,
+       {_mask(f"regexp_extract(statement, {q(D.BODY_RE)}, 1)")} AS body
+       FROM st WHERE upper(statement) LIKE 'CREATE%' AND regexp_matches(statement, {q(D.CREATE_RE)})),
+pt AS (SELECT sample_id, stmt_pos, table_name,
+       list_filter(list_filter(list_transform(string_split(body, ','), lambda p: {strip('p')}), lambda p: p <> ''),
+                   lambda p: NOT list_contains({_SKIP}, upper({_first('p')}))) AS parts FROM tb),
+cols AS (SELECT sample_id, stmt_pos, table_name, unnest(generate_series(1, len(parts))) AS col_pos,
+         unnest(parts) AS part FROM pt),
+cols2 AS (SELECT sample_id, table_name, CAST(col_pos AS INTEGER) AS col_pos, {_first('part')} AS col_name,
+  replace(coalesce(regexp_split_to_array(part, '\\s+')[2], '{D.DEFAULT_TYPE}'), chr(1), ',') AS col_type,
+  regexp_matches(upper(part), '\\bPRIMARY\\s+KEY\\b|\\bUNIQUE\\b') AS is_unique FROM cols)""")
+
+
+@register("split_statements", _CTE + "SELECT sample_id, CAST(stmt_pos AS INTEGER) AS stmt_pos, statement FROM st")
+def split_statements(spark, d):
+    return D.split_statements(FX.samples(spark, d), "sql_context")
+
+
+@register("extract_tables", _CTE + "SELECT sample_id, table_name FROM tb")
+def extract_tables(spark, d):
+    return D.extract_tables(FX.samples(spark, d), "sql_context")
+
+
+@register("extract_columns", _CTE + "SELECT * FROM cols2")
+def extract_columns(spark, d):
+    return D.extract_columns(FX.samples(spark, d), "sql_context")
+
+
+@register("schema_type_histogram", _CTE + "SELECT upper(col_type) AS col_type, count(*) AS n_columns FROM cols2 GROUP BY 1")
+def schema_type_histogram(spark, d):
+    return D.schema_type_histogram(D.extract_columns(FX.samples(spark, d), "sql_context"))
+
+
+@register("schema_width", _CTE + """
+SELECT s.sample_id, CAST(coalesce(t.n_tables, 0) AS INTEGER) AS n_tables, CAST(coalesce(c.n_columns, 0) AS INTEGER) AS n_columns
+FROM samples s LEFT JOIN (SELECT sample_id, count(DISTINCT lower(table_name)) AS n_tables FROM tb GROUP BY 1) t USING (sample_id)
+LEFT JOIN (SELECT sample_id, count(*) AS n_columns FROM cols2 GROUP BY 1) c USING (sample_id)""")
+def schema_width(spark, d):
+    return D.schema_width(FX.samples(spark, d), "sql_context")
