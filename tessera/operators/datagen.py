@@ -71,105 +71,117 @@ DEFAULT_ROWS, MAX_ROWS, WEB_ROWS = 30, 100, 10
 
 
 class X:
-    """An expression in both back ends: a Spark Column and DuckDB SQL."""
+    """An expression in both back ends: a Spark Column (built lazily, so the
+    SQL text is available without a running SparkContext) and DuckDB SQL."""
 
-    def __init__(self, c: Column, s: str):
-        self.c, self.s = c, s
+    def __init__(self, cf, s: str):
+        self._cf, self.s = cf, s
+
+    @property
+    def c(self) -> Column:
+        return self._cf()
 
     def __and__(self, o):
-        return X(self.c & o.c, f"({self.s} AND {o.s})")
+        return X(lambda: self.c & o.c, f"({self.s} AND {o.s})")
 
     def __or__(self, o):
-        return X(self.c | o.c, f"({self.s} OR {o.s})")
+        return X(lambda: self.c | o.c, f"({self.s} OR {o.s})")
 
 
 def _q(v: str) -> str:
     return "'" + v.replace("'", "''") + "'"
 
 
-def _lit(v) -> X:
-    return X(lit(v), _q(v) if isinstance(v, str) else str(v))
-
-
-# cell inputs: lower-cased name n, upper-cased type t, row i, row count nrows, hash h
-N = X(F.lower(col("col_name")), "lower(col_name)")
-T = X(F.upper(F.coalesce(col("col_type"), lit(""))), "upper(coalesce(col_type, ''))")
-I = X(col("row_i"), "row_i")
-NROWS = X(col("n_rows"), "n_rows")
-FIRST = X(col("first_col"), "first_col")
-H = X(F.pmod(col("sample_id") * 1000003 + col("col_pos") * 7919 + col("row_i") * 104729, lit(495001)),
+# cell inputs: lower-cased name n, upper-cased type t, row i, row count, hash h
+N = X(lambda: F.lower(col("col_name")), "lower(col_name)")
+T = X(lambda: F.upper(F.coalesce(col("col_type"), lit(""))), "upper(coalesce(col_type, ''))")
+I = X(lambda: col("row_i"), "row_i")
+NROWS = X(lambda: col("n_rows"), "n_rows")
+FIRST = X(lambda: col("first_col"), "first_col")
+H = X(lambda: F.pmod(col("sample_id") * 1000003 + col("col_pos") * 7919 + col("row_i") * 104729, lit(495001)),
       "((sample_id * 1000003 + col_pos * 7919 + row_i * 104729) % 495001)")
 
 
 def has(x: X, *subs: str) -> X:
     out = None
-    for s in subs:
-        e = X(F.contains(x.c, lit(s)), f"contains({x.s}, {_q(s)})")
+    for sub in subs:
+        e = X(lambda sub=sub: F.contains(x.c, lit(sub)), f"contains({x.s}, {_q(sub)})")
         out = e if out is None else out | e
     return out
 
 
 def is_in(x: X, *vals: str) -> X:
-    return X(x.c.isin(list(vals)), f"{x.s} IN ({', '.join(_q(v) for v in vals)})")
+    return X(lambda: x.c.isin(list(vals)), f"{x.s} IN ({', '.join(_q(v) for v in vals)})")
 
 
 def pool(vals, idx: X = I) -> X:
     """vals[idx % len(vals)]"""
     n = len(vals)
-    return X(F.element_at(F.array(*[lit(v) for v in vals]), F.pmod(idx.c, lit(n)) + 1),
+    return X(lambda: F.element_at(F.array(*[lit(v) for v in vals]), F.pmod(idx.c, lit(n)) + 1),
              f"[{', '.join(_q(v) for v in vals)}][({idx.s}) % {n} + 1]")
 
 
 def istr(e: X) -> X:
-    return X(e.c.cast("string"), f"CAST({e.s} AS VARCHAR)")
+    return X(lambda: e.c.cast("string"), f"CAST({e.s} AS VARCHAR)")
 
 
 def fmt2(num: X) -> X:
-    return X(F.format_string("%.2f", num.c), f"printf('%.2f', {num.s})")
+    return X(lambda: F.format_string("%.2f", num.c), f"printf('%.2f', {num.s})")
+
+
+def when(cond: X, a: X, b: X) -> X:
+    return X(lambda: F.when(cond.c, a.c).otherwise(b.c), f"CASE WHEN {cond.s} THEN {a.s} ELSE {b.s} END")
+
+
+def concat(*xs: X) -> X:
+    return X(lambda: F.concat(*[x.c for x in xs]), "concat(" + ", ".join(x.s for x in xs) + ")")
+
+
+def text(v: str) -> X:
+    return X(lambda: lit(v), _q(v))
+
+
+def arith(fn, s: str) -> X:
+    return X(fn, s)
 
 
 def date_str(offset: X, with_time: X, time_text: str) -> X:
-    d = X(F.date_format(F.date_add(lit(AS_OF), offset.c), "yyyy-MM-dd"),
+    d = X(lambda: F.date_format(F.date_add(lit(AS_OF), offset.c), "yyyy-MM-dd"),
           f"strftime(DATE '{AS_OF.isoformat()}' + CAST({offset.s} AS INTEGER), '%Y-%m-%d')")
-    return X(F.when(with_time.c, F.concat(d.c, lit(time_text))).otherwise(d.c),
-             f"CASE WHEN {with_time.s} THEN concat({d.s}, {_q(time_text)}) ELSE {d.s} END")
+    return when(with_time, concat(d, text(time_text)), d)
 
 
 def _mod_eq(x: X, m: int, v: int) -> X:
-    return X(F.pmod(x.c, lit(m)) == v, f"({x.s} % {m} = {v})")
+    return X(lambda: F.pmod(x.c, lit(m)) == v, f"({x.s} % {m} = {v})")
+
+
+def _int_pool(vals) -> X:
+    p = pool([str(o) for o in vals])
+    return X(lambda: p.c.cast("int"), f"CAST({p.s} AS INTEGER)")
 
 
 def _rules() -> list[tuple[str, X, X]]:
     has_time = has(T, "TIME", "STAMP")
-    i_plus = lambda k: X(I.c + k, f"(row_i + {k})")
-    email = X(F.concat(pool(EMAIL_NAMES).c, lit("@"), pool(EMAIL_DOMAINS).c),
-              f"concat({pool(EMAIL_NAMES).s}, '@', {pool(EMAIL_DOMAINS).s})")
-    phone = X(F.format_string("+1-555-%03d-%04d", I.c + 100, I.c * 111 + 1000),
-              "printf('+1-555-%03d-%04d', row_i + 100, row_i * 111 + 1000)")
-    address = X(F.concat((I.c + 100).cast("string"), lit(" Main Street")),
-                "concat(CAST(row_i + 100 AS VARCHAR), ' Main Street')")
-    status = X(F.when(_mod_eq(I, 3, 0).c, pool(FUTURE_STATUSES).c).otherwise(pool(STATUSES).c),
-               f"CASE WHEN {_mod_eq(I, 3, 0).s} THEN {pool(FUTURE_STATUSES).s} ELSE {pool(STATUSES).s} END")
-    birth = X(F.format_string("%s-%02d-%02d", pool(BIRTH_YEARS).c, F.pmod(I.c * 3, lit(12)) + 1,
-                              F.pmod(I.c * 7, lit(28)) + 1),
-              f"printf('%s-%02d-%02d', {pool(BIRTH_YEARS).s}, (row_i * 3) % 12 + 1, (row_i * 7) % 28 + 1)")
-    recent = date_str(X(pool([str(o) for o in RECENT_OFFSETS]).c.cast("int"),
-                        f"CAST({pool([str(o) for o in RECENT_OFFSETS]).s} AS INTEGER)"), has_time, " 00:00:00")
-    fut_off = X(pool([str(o) for o in FUTURE_OFFSETS]).c.cast("int"),
-                f"CAST({pool([str(o) for o in FUTURE_OFFSETS]).s} AS INTEGER)")
-    fut = date_str(fut_off, has_time, TIME_SUFFIX)
+    every3 = _mod_eq(I, 3, 0)
+    email = concat(pool(EMAIL_NAMES), text("@"), pool(EMAIL_DOMAINS))
+    phone = arith(lambda: F.format_string("+1-555-%03d-%04d", I.c + 100, I.c * 111 + 1000),
+                  "printf('+1-555-%03d-%04d', row_i + 100, row_i * 111 + 1000)")
+    address = concat(istr(arith(lambda: I.c + 100, "(row_i + 100)")), text(" Main Street"))
+    status = when(every3, pool(FUTURE_STATUSES), pool(STATUSES))
+    birth = arith(lambda: F.format_string("%s-%02d-%02d", pool(BIRTH_YEARS).c, F.pmod(I.c * 3, lit(12)) + 1,
+                                          F.pmod(I.c * 7, lit(28)) + 1),
+                  f"printf('%s-%02d-%02d', {pool(BIRTH_YEARS).s}, (row_i * 3) % 12 + 1, (row_i * 7) % 28 + 1)")
+    recent = date_str(_int_pool(RECENT_OFFSETS), has_time, " 00:00:00")
+    fut = date_str(_int_pool(FUTURE_OFFSETS), has_time, TIME_SUFFIX)
     d24 = pool(DATES_2024)
-    d24t = X(F.when(has_time.c, F.concat(d24.c, lit(TIME_SUFFIX))).otherwise(d24.c),
-             f"CASE WHEN {has_time.s} THEN concat({d24.s}, {_q(TIME_SUFFIX)}) ELSE {d24.s} END")
-    dates = X(F.when(_mod_eq(I, 3, 0).c, fut.c).otherwise(d24t.c),
-              f"CASE WHEN {_mod_eq(I, 3, 0).s} THEN {fut.s} ELSE {d24t.s} END")
-    money = fmt2(X(H.c / 100.0 + 50, f"({H.s} / 100.0 + 50)"))
-    randint = istr(X(F.pmod(H.c, lit(1000)) + 1, f"({H.s} % 1000 + 1)"))
-    unif = fmt2(X(F.pmod(H.c, lit(99901)) / 100.0 + 1, f"(({H.s} % 99901) / 100.0 + 1)"))
-    fk = istr(X(F.pmod(I.c - 1, NROWS.c) + 1, "((row_i - 1) % n_rows + 1)"))
-    key_rule = is_in(N, "id", "pk") | (X(F.endswith(N.c, lit("_id")), f"suffix({N.s}, '_id')") & FIRST)
-    fk_rule = X(F.endswith(N.c, lit("_id")) | F.startswith(N.c, lit("id_")),
-                f"(suffix({N.s}, '_id') OR prefix({N.s}, 'id_'))")
+    dates = when(every3, fut, when(has_time, concat(d24, text(TIME_SUFFIX)), d24))
+    money = fmt2(arith(lambda: H.c / 100.0 + 50, f"({H.s} / 100.0 + 50)"))
+    randint = istr(arith(lambda: F.pmod(H.c, lit(1000)) + 1, f"({H.s} % 1000 + 1)"))
+    unif = fmt2(arith(lambda: F.pmod(H.c, lit(99901)) / 100.0 + 1, f"(({H.s} % 99901) / 100.0 + 1)"))
+    fk = istr(arith(lambda: F.pmod(I.c - 1, NROWS.c) + 1, "((row_i - 1) % n_rows + 1)"))
+    ends_id = arith(lambda: F.endswith(N.c, lit("_id")), f"suffix({N.s}, '_id')")
+    key_rule = is_in(N, "id", "pk") | (ends_id & FIRST)
+    fk_rule = ends_id | arith(lambda: F.startswith(N.c, lit("id_")), f"prefix({N.s}, 'id_')")
     name = has(N, "name")
     return [
         ("key", key_rule, istr(I)),                                                    # G2
@@ -200,33 +212,35 @@ def _rules() -> list[tuple[str, X, X]]:
         ("age", has(N, "age"), pool(AGES)),
         ("birth", has(N, "birth", "dob"), birth),
         ("notes", has(N, "notes", "description", "comment", "remark"), pool(NOTES)),
-        ("flag", has(N, "is_", "has_", "enabled", "flag"), istr(X(F.pmod(I.c, lit(2)), "(row_i % 2)"))),
+        ("flag", has(N, "is_", "has_", "enabled", "flag"), istr(arith(lambda: F.pmod(I.c, lit(2)), "(row_i % 2)"))),
         ("recent", has(N, "created", "updated", "registered", "signed_up", "joined"), recent),  # G5
         ("date", has(T, "DATE", "TIME", "STAMP") | has(N, "date", "created", "updated", "ordered", "hired"),
          dates),                                                                       # G5
         ("int", has(T, "INT", "NUM", "SERIAL"), randint),                              # G6
         ("float", has(T, "FLOAT", "REAL", "DOUBLE", "DECIMAL"), unif),                 # G6
-        ("text", has(T, "CHAR", "TEXT", "STRING", "CLOB"),
-         X(F.concat(lit("item_"), I.c.cast("string")), "concat('item_', CAST(row_i AS VARCHAR))")),
+        ("text", has(T, "CHAR", "TEXT", "STRING", "CLOB"), concat(text("item_"), istr(I))),
     ]
 
 
-_FALLBACK = X(F.concat(lit("val_"), I.c.cast("string")), "concat('val_', CAST(row_i AS VARCHAR))")
+_FALLBACK = concat(text("val_"), istr(I))
 
 
-def value_expr() -> X:
+def value_expr() -> tuple[X, X]:
     """The ordered rule list as one CASE expression (first match wins),
     plus the name of the rule that fired."""
     rules = _rules()
-    c = r = None
-    parts, rparts = [], []
-    for name, cond, val in rules:
-        c = F.when(cond.c, val.c) if c is None else c.when(cond.c, val.c)
-        r = F.when(cond.c, lit(name)) if r is None else r.when(cond.c, lit(name))
-        parts.append(f"WHEN {cond.s} THEN {val.s}")
-        rparts.append(f"WHEN {cond.s} THEN '{name}'")
-    value = X(c.otherwise(_FALLBACK.c), "CASE " + " ".join(parts) + f" ELSE {_FALLBACK.s} END")
-    rule = X(r.otherwise(lit("fallback")), "CASE " + " ".join(rparts) + " ELSE 'fallback' END")
+
+    def build(pick):
+        c = None
+        for name, cond, val in rules:
+            v = pick(name, val)
+            c = F.when(cond.c, v) if c is None else c.when(cond.c, v)
+        return c
+
+    value = X(lambda: build(lambda n, v: v.c).otherwise(_FALLBACK.c),
+              "CASE " + " ".join(f"WHEN {c.s} THEN {v.s}" for _, c, v in rules) + f" ELSE {_FALLBACK.s} END")
+    rule = X(lambda: build(lambda n, v: lit(n)).otherwise(lit("fallback")),
+             "CASE " + " ".join(f"WHEN {c.s} THEN '{n}'" for n, c, _ in rules) + " ELSE 'fallback' END")
     return value, rule
 
 
