@@ -1,0 +1,30 @@
+"""Bindings for E10 (execution check) and E11 (run SQL on a declared
+schema). Rows-only: the outcome depends on Spark's own analyser."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.functions import text as TX
+from tessera.operators import execution as X
+from tessera.plans import register
+from tessera.plans import fixtures as FX
+
+col = F.col
+
+
+@register("execution_check")
+def execution_check(spark, d):
+    r = FX.responses(spark, d)
+    e = r.select("sample_id", "sql_context",
+                 F.nullif(TX.extract_sql(TX.scrub_control_chars(col("response"))), F.lit("")).alias("sql"))
+    return X.execution_check(spark, e.filter(col("sql").isNotNull()), "sql", "sql_context")
+
+
+@register("run_sql_on_schema")
+def run_sql_on_schema(spark, d):
+    s = FX.samples(spark, d)
+    pairs = s.select(col("sql_context").alias("schema_key"), col("sql").alias("sql_key"))
+    out = X.execute_candidates(spark, pairs, rewrite=True)
+    return out.select("schema_key", col("sql_key").alias("sql"), col("ran_sql").alias("rewritten_sql"),
+                      "ok", "message", "row_count")

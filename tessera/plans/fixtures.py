@@ -44,7 +44,11 @@ def _pick(key, values):
 
 
 def samples(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
+    return samples_from(table(spark, d, "documents"))
+
+
+def samples_from(docs: DataFrame) -> DataFrame:
+    """The samples projection of a documents DataFrame (batch or stream)."""
     k = col("doc_id") % 5
     return docs.select(
         col("doc_id").alias("sample_id"), col("source").alias("domain"),
@@ -57,7 +61,10 @@ def samples(spark: SparkSession, d: str) -> DataFrame:
 
 
 def responses(spark: SparkSession, d: str) -> DataFrame:
-    s = samples(spark, d)
+    return responses_from(samples(spark, d))
+
+
+def responses_from(s: DataFrame) -> DataFrame:
     sql = col("sql")
     v = col("sample_id") % 8
     resp = (F.when(v == 0, F.concat(F.lit("```sql" + NL), sql, F.lit(NL + "```" + NL + NL + "Explanation: ok")))

@@ -1 +1,34 @@
-"""placeholder"""
+"""Bindings for the sinks (S3, S4): write, then read back what was written.
+Rows-only checks (the output is files)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.operators import corpus as C
+from tessera.operators import evaluate as EV
+from tessera.plans import register
+from tessera.plans import fixtures as FX
+from tessera.sources import sinks as SK
+
+col = F.col
+
+
+@register("write_jsonl")
+def write_jsonl(spark, d):
+    f = C.format_samples(FX.samples(spark, d))
+    split = C.quota_split(f, "sample_id", "complexity")
+    out = SK.write_jsonl(split.select("instruction", "input", "output", "domain", "complexity", "split"),
+                         SK.scratch_path(spark, "processed_data"))
+    return spark.read.json(out)
+
+
+@register("write_eval_results")
+def write_eval_results(spark, d):
+    e = FX.eval_results(spark, d)
+    e = e.withColumn("status", EV.case_status(F.lit(True), F.lit(True), col("is_valid"),
+                                              col("is_executable"), col("keyword_score")))
+    e = e.withColumn("validation_error", F.when(~col("is_valid"), F.lit("invalid SQL"))) \
+         .withColumn("execution_error", F.when(~col("is_executable"), F.lit("Query execution failed")))
+    out = SK.write_eval_results(SK.eval_record(e), SK.scratch_path(spark, "evaluation_results"))
+    return spark.read.json(out)

@@ -1 +1,23 @@
-"""placeholder"""
+"""Binding for ST1: the response gate as a Structured Streaming query over
+the documents Parquet source; its output must equal the batch gate, so the
+oracle is the batch gate's SQL."""
+
+from __future__ import annotations
+
+from tessera.plans import register
+from tessera.plans import fixtures as FX
+from tessera.plans.responses import RESP, _GATE
+from tessera.sources import sinks as SK
+from tessera.sources.tables import table
+from tessera.streaming import gate as SG
+
+
+@register("stream_gate", RESP + _GATE)
+def stream_gate(spark, d):
+    schema = table(spark, d, "documents").schema
+    src = (spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet")
+           .option("maxFilesPerTrigger", 1).parquet(d))
+    resp = FX.responses_from(FX.samples_from(src)).select("sample_id", "response")
+    out = SK.scratch_path(spark, "stream_gate")
+    SG.run_available(spark, SG.gate_stream(resp), out)
+    return spark.read.parquet(out)
