@@ -62,8 +62,13 @@ def extract_sql(x) -> Column:
     """R2: SQL inside a ```sql fence, else the first starter keyword up to
     ';', else NULL. An empty fence gives '' (and no fallback)."""
     s = _c(x)
-    return (F.when(s.rlike(FENCE_RE), strip(F.regexp_extract(s, FENCE_RE, 1)))
-             .when(s.rlike(BARE_RE), strip(F.regexp_extract(s, BARE_RE, 0)))
+    # One scan of the text per pattern: a match is never empty, so group 0
+    # tells "matched" apart from "no match"; group 1 is then taken from the
+    # short matched span only.
+    fence = F.regexp_extract(s, FENCE_RE, 0)
+    bare = F.regexp_extract(s, BARE_RE, 0)
+    return (F.when(fence != F.lit(""), strip(F.regexp_extract(fence, FENCE_RE, 1)))
+             .when(bare != F.lit(""), strip(bare))
              .otherwise(F.lit(None).cast("string")))
 
 

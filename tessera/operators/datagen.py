@@ -93,8 +93,11 @@ def _q(v: str) -> str:
 
 
 # cell inputs: lower-cased name n, upper-cased type t, row i, row count, hash h
-N = X(lambda: F.lower(col("col_name")), "lower(col_name)")
-T = X(lambda: F.upper(F.coalesce(col("col_type"), lit(""))), "upper(coalesce(col_type, ''))")
+# (_n / _t are computed once per cell in a projection before the rules run)
+N = X(lambda: col("_n"), "_n")
+T = X(lambda: col("_t"), "_t")
+NAME_NORM = X(lambda: F.lower(col("col_name")), "lower(col_name)")
+TYPE_NORM = X(lambda: F.upper(F.coalesce(col("col_type"), lit(""))), "upper(coalesce(col_type, ''))")
 I = X(lambda: col("row_i"), "row_i")
 NROWS = X(lambda: col("n_rows"), "n_rows")
 FIRST = X(lambda: col("first_col"), "first_col")
@@ -226,21 +229,27 @@ _FALLBACK = concat(text("val_"), istr(I))
 
 
 def value_expr() -> tuple[X, X]:
-    """The ordered rule list as one CASE expression (first match wins),
-    plus the name of the rule that fired."""
+    """The ordered rule list as one CASE over the conditions giving the
+    name of the first rule that matches, and the value as a CASE on that
+    name (so each condition is evaluated once per cell)."""
     rules = _rules()
 
-    def build(pick):
+    def rule_col():
         c = None
-        for name, cond, val in rules:
-            v = pick(name, val)
-            c = F.when(cond.c, v) if c is None else c.when(cond.c, v)
-        return c
-
-    value = X(lambda: build(lambda n, v: v.c).otherwise(_FALLBACK.c),
-              "CASE " + " ".join(f"WHEN {c.s} THEN {v.s}" for _, c, v in rules) + f" ELSE {_FALLBACK.s} END")
-    rule = X(lambda: build(lambda n, v: lit(n)).otherwise(lit("fallback")),
-             "CASE " + " ".join(f"WHEN {c.s} THEN '{n}'" for n, c, _ in rules) + " ELSE 'fallback' END")
+        for name, cond, _ in rules:
+            c = F.when(cond.c, lit(name)) if c is None else c.when(cond.c, lit(name))
+        return c.otherwise(lit("fallback"))
+
+    def value_col():
+        r = col("rule")
+        c = None
+        for name, _, val in rules:
+            c = F.when(r == name, val.c) if c is None else c.when(r == name, val.c)
+        return c.otherwise(_FALLBACK.c)
+
+    rule = X(rule_col, "CASE " + " ".join(f"WHEN {c.s} THEN '{n}'" for n, c, _ in rules) + " ELSE 'fallback' END")
+    value = X(value_col, "CASE rule " + " ".join(f"WHEN '{n}' THEN {v.s}" for n, _, v in rules) +
+              f" ELSE {_FALLBACK.s} END")
     return value, rule
 
 
@@ -254,11 +263,15 @@ def generate_rows(columns: DataFrame, n_rows: int = WEB_ROWS, key: str = "sample
     value) for ``n_rows`` rows of every table in the column inventory."""
     n = row_count(n_rows)
     value, rule = value_expr()
-    cells = (columns.withColumn("first_col", col("col_pos") == 1)
-             .withColumn("n_rows", lit(n))
-             .withColumn("row_i", F.explode(F.sequence(lit(1), lit(n)))))
+    # Rules depend on the column only except for i, so pick the rule per
+    # declared column (once), then explode the rows and compute values.
+    per_col = (columns.withColumn("first_col", col("col_pos") == 1)
+               .withColumn("n_rows", lit(n))
+               .withColumn("_n", NAME_NORM.c).withColumn("_t", TYPE_NORM.c))
+    per_col = per_col.withColumn("rule", rule.c)
+    cells = per_col.withColumn("row_i", F.explode(F.sequence(lit(1), lit(n))))
     return cells.select(key, "table_name", "row_i", "col_pos", "col_name", "col_type", "is_unique",
-                        rule.c.alias("rule"), value.c.alias("value"))
+                        "rule", value.c.alias("value"))
 
 
 def unique_insert(cells: DataFrame, key: str = "sample_id") -> DataFrame:

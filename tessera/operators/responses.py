@@ -71,13 +71,16 @@ def gate_responses(df: DataFrame, response: str = "response") -> DataFrame:
     no response -> error; loop marker -> error; else scrub, extract, validate.
     ``sql_query`` is NULL (with a message) when no SQL is found."""
     r = col(response)
-    empty = r.isNull() | (r == lit(""))
-    marker = TX.has_loop_marker(r)
-    scrubbed = TX.scrub_control_chars(r)
-    sql = F.nullif(TX.extract_sql(scrubbed), lit(""))
-    failed = empty | marker
     keep = [c for c in df.columns if c != response]
-    return df.select(
+    # Stage the expensive text work in its own projections (each regex runs
+    # once per row; the optimizer does not re-inline non-trivial expressions
+    # that are referenced several times).
+    staged = (df.select(*keep, (r.isNull() | (r == lit(""))).alias("_empty"),
+                        TX.has_loop_marker(r).alias("_marker"), TX.scrub_control_chars(r).alias("_scrubbed"))
+                .withColumn("_sql", F.nullif(TX.extract_sql(col("_scrubbed")), lit(""))))
+    empty, marker, scrubbed, sql = col("_empty"), col("_marker"), col("_scrubbed"), col("_sql")
+    failed = empty | marker
+    return staged.select(
         *keep,
         (~failed).alias("success"),
         F.when(empty, lit(NO_RESPONSE_ERROR)).when(marker, lit(TOKEN_ISSUE_ERROR)).alias("error"),

@@ -16,10 +16,12 @@ N_ROWS = G.WEB_ROWS
 
 _VALUE, _RULE = G.value_expr()
 CELLS_CTE = _CTE[:-1] + f""",
-cells0 AS (SELECT c.*, col_pos = 1 AS first_col, {N_ROWS} AS n_rows, CAST(r.row_i AS INTEGER) AS row_i
+cells0 AS (SELECT c.*, col_pos = 1 AS first_col, {N_ROWS} AS n_rows, CAST(r.row_i AS INTEGER) AS row_i,
+           {G.NAME_NORM.s} AS _n, {G.TYPE_NORM.s} AS _t
            FROM cols2 c, (SELECT unnest(generate_series(1, {N_ROWS})) AS row_i) r),
+cells1 AS (SELECT *, {_RULE.s} AS rule FROM cells0),
 cells AS (SELECT sample_id, table_name, row_i, col_pos, col_name, col_type, is_unique,
-          {_RULE.s} AS rule, {_VALUE.s} AS value FROM cells0)
+          rule, {_VALUE.s} AS value FROM cells1)
 """
 
 
