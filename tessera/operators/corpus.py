@@ -144,7 +144,11 @@ def quota_split(df: DataFrame, id_col: str, label: str, frac: float = VALIDATION
         "_b", F.conv(F.substring("_k", 1, bucket_hex), 16, 10).cast("int"))
     counts = df.groupBy(label).agg(F.count(lit(1)).alias("n_c"))
     quotas = _quotas(counts, label, frac)
-    keyed = keyed.join(quotas, label)  # one row per label: broadcast at runtime by AQE
+    # One row per label: AQE broadcasts it from its measured size, and the
+    # identical count/quota sub-plans in the branches below are one reused
+    # exchange, so the input is scanned once per phase (counts, histogram,
+    # cut bucket, final), never sorted or shuffled as a whole.
+    keyed = keyed.join(quotas, label)
     hist = keyed.groupBy("stratum", "_b").agg(F.count(lit(1)).alias("c"), F.first("quota").alias("quota"))
     w = Window.partitionBy("stratum").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     hist = hist.withColumn("cum", F.sum("c").over(w)).withColumn("prev", col("cum") - col("c"))
