@@ -214,14 +214,27 @@ def render_prompts(df: DataFrame, schema: str = "sql_context", request: str = "s
     return df.select(key, F.inline(F.array(*variants)))
 
 
-def chat_turns(conv: DataFrame) -> DataFrame:
+def chat_turns(conv: DataFrame, block: int = 1024) -> DataFrame:
     """ChatML rendering, one segment per turn:
-    ``<|im_start|>{role}\\n{text}<|im_end|>\\n``. A conversation's text is the
+    ``<|im_start|>{role}\n{text}<|im_end|>\n``. A conversation's text is the
     concatenation of its segments in ``turn`` order; ``char_offset`` gives
     each segment's start, so a writer can lay them out without gathering a
-    conversation into one row (a conversation may be arbitrarily long)."""
+    conversation into one row.
+
+    The running offset is a two-level prefix sum so that no window holds a
+    whole (possibly huge) conversation: turns are cut into blocks of
+    ``block`` consecutive turn numbers; block totals (a partial aggregation)
+    give each block's start, and the running sum inside a block covers at
+    most ``block`` rows."""
     seg = F.concat(lit(CHAT_START), col("role"), lit("\n"), F.coalesce(col("text"), lit("")),
                    lit(CHAT_END + "\n"))
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    return (conv.select("conv_id", "turn", "role", seg.alias("segment"))
-            .withColumn("char_offset", F.coalesce(F.sum(F.length("segment")).over(w), lit(0)).cast("bigint")))
+    t = (conv.select("conv_id", "turn", "role", seg.alias("segment"))
+         .withColumn("_blk", F.floor(col("turn") / lit(block)))
+         .withColumn("_len", F.length("segment").cast("bigint")))
+    totals = t.groupBy("conv_id", "_blk").agg(F.sum("_len").alias("_tot"))
+    wb = Window.partitionBy("conv_id").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.withColumn("_start", F.coalesce(F.sum("_tot").over(wb), lit(0))).drop("_tot")
+    wi = Window.partitionBy("conv_id", "_blk").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    inner = t.withColumn("_in", F.coalesce(F.sum("_len").over(wi), lit(0)))
+    return (inner.join(starts, ["conv_id", "_blk"])
+            .select("conv_id", "turn", "role", "segment", (col("_start") + col("_in")).cast("bigint").alias("char_offset")))

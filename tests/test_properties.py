@@ -60,3 +60,11 @@ def test_rows_only_queries_run(spark):
     assert ex.filter("is_executable").count() == 400
     r = q["run_sql_on_schema"](spark, SF_MID).collect()
     assert len(r) == 5 and all(x.ok for x in r)
+
+
+def test_chat_offsets_blocked_prefix(spark):
+    df = spark.range(0, 3000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"),
+                                     F.lit("user").alias("role"), F.lit("ab").alias("text"))
+    seglen = len("<|im_start|>user\nab<|im_end|>\n")
+    got = [r.char_offset for r in C.chat_turns(df, block=7).orderBy("turn").collect()]
+    assert got == [i * seglen for i in range(3000)]
