@@ -180,3 +180,19 @@ FROM (SELECT conv_id, turn, role,
   {cat(L(C.CHAT_START), 'role', L(chr(10)), "coalesce(text, '')", L(C.CHAT_END + chr(10)))} AS segment FROM chat)""")
 def chat_template(spark, d):
     return C.chat_turns(FX.chat(spark, d))
+
+
+@register("load_custom_samples", FX.with_views("samples") + f"""
+SELECT sample_id, {_instr("'general'", "'basic'")} AS instruction,
+ {cat(L('Database Schema:' + chr(10)), "coalesce(sql_context, '')", L(chr(10) * 2 + 'Request: '), "coalesce(sql_prompt, '')")} AS input,
+ {cat(L("```sql" + chr(10)), "coalesce(sql, '')", L(chr(10) + "```" + chr(10) * 2 + "Explanation: "))} AS output,
+ 'general' AS domain, 'basic' AS complexity FROM samples""")
+def load_custom_samples(spark, d):
+    # A user file holding only sql_context / sql_prompt / sql (JSON lines);
+    # the loader's explicit schema reads the other fields as NULL and A1
+    # applies the defaults.
+    from tessera.sources.sinks import scratch_path
+    from tessera.sources.tables import load_samples as load
+    path = scratch_path(spark, "custom_samples")
+    FX.samples(spark, d).select("sample_id", "sql_context", "sql_prompt", "sql").write.json(path)
+    return C.format_samples(load(spark, path, fmt="json"))

@@ -418,3 +418,16 @@ def growth_lag(spark, d):
     g = A.period_growth(m, ["segment"], "month", "total")
     return g.select("segment", "month", F.round("total", 2).alias("total"),
                     F.round("prev_value", 2).alias("prev_total"), "growth_pct")
+
+
+_ALL = ("region nation customer supplier part orders lineitem events documents embeddings pages "
+        "benchmark labels conversations").split()
+
+
+@register("load_test_tables", " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in _ALL))
+def load_test_tables(spark, d):
+    # Register every table as a temp view, then query them through SQL.
+    from tessera.sources.tables import register_views
+    register_views(spark, d, _ALL)
+    return spark.sql(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in _ALL))
