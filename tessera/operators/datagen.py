@@ -226,6 +226,7 @@ def _rules() -> list[tuple[str, X, X]]:
 
 
 _FALLBACK = concat(text("val_"), istr(I))
+_COLUMN_CACHE: dict = {}
 
 
 def value_expr() -> tuple[X, X]:
@@ -247,6 +248,17 @@ def value_expr() -> tuple[X, X]:
             c = F.when(r == name, val.c) if c is None else c.when(r == name, val.c)
         return c.otherwise(_FALLBACK.c)
 
+    def cached(key, fn):
+        # Column trees are built through py4j once per SparkContext and reused.
+        def get():
+            from pyspark import SparkContext
+            k = (key, id(SparkContext._active_spark_context))
+            if k not in _COLUMN_CACHE:
+                _COLUMN_CACHE[k] = fn()
+            return _COLUMN_CACHE[k]
+        return get
+
+    rule_col, value_col = cached("rule", rule_col), cached("value", value_col)
     rule = X(rule_col, "CASE " + " ".join(f"WHEN {c.s} THEN '{n}'" for n, c, _ in rules) + " ELSE 'fallback' END")
     value = X(value_col, "CASE rule " + " ".join(f"WHEN '{n}' THEN {v.s}" for n, _, v in rules) +
               f" ELSE {_FALLBACK.s} END")
