@@ -34,13 +34,12 @@ def now_as_of(as_of: _dt.date = AS_OF) -> Column:
     return F.lit(as_of)
 
 
-def _micros(x) -> Column:
-    return F.unix_micros(_c(x).cast("timestamp"))
-
-
 def fractional_days(a, b) -> Column:
-    """(b - a) in days, fractional (julianday(b) - julianday(a))."""
-    return (_micros(b) - _micros(a)) / F.lit(float(MICROS_PER_DAY))
+    """(b - a) in days, fractional (julianday(b) - julianday(a)). Computed on
+    zone-less timestamps, so the session time zone (and its DST jumps) never
+    enters the difference."""
+    return (F.timestamp_diff("MICROSECOND", _c(a).cast("timestamp_ntz"), _c(b).cast("timestamp_ntz"))
+            / F.lit(float(MICROS_PER_DAY)))
 
 
 def timestampdiff_approx(unit: str, a, b) -> Column:

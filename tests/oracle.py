@@ -103,7 +103,16 @@ if __name__ == "__main__":
     from tessera.session import get_session
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:]
-    spark = get_session("local[8]")
+    if os.environ.get("ORACLE_PLAIN"):
+        # a session with none of the engine's settings (as an outside driver may use)
+        from pyspark.sql import SparkSession
+        b = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
+        if os.environ.get("ORACLE_TZ"):
+            b = b.config("spark.sql.session.timeZone", os.environ["ORACLE_TZ"])
+        spark = b.getOrCreate()
+        spark.sparkContext.setLogLevel("ERROR")
+    else:
+        spark = get_session("local[8]")
     import __spark_entry__ as E
     con = duck(sf)
     allq = E.queries()
