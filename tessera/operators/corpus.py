@@ -50,6 +50,16 @@ def _output_text() -> Column:
     return F.concat(lit("```sql\n"), _txt("sql"), lit("\n```\n\nExplanation: "), _txt("sql_explanation"))
 
 
+def limit_samples(df: DataFrame, n: int | None, key: str = "sample_id") -> DataFrame:
+    """The first ``n`` samples in dataset order (``key``); a falsy ``n``
+    (None / 0) keeps all. Planned as TakeOrdered (per-partition top-n, no
+    global sort). The reference raises when n exceeds the size; here the
+    whole input is returned instead (checking would cost a count pass)."""
+    if not n:
+        return df
+    return df.orderBy(key).limit(int(n))
+
+
 def format_samples(df: DataFrame) -> DataFrame:
     """A1: raw sample -> instruction / input / output (+ domain, complexity).
     Missing (NULL) fields take the reference defaults."""

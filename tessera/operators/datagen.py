@@ -13,8 +13,6 @@ The rule table is data, rendered both as a Spark Column and as DuckDB SQL
 
 from __future__ import annotations
 
-import datetime as _dt
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -299,6 +297,3 @@ def unique_insert(cells: DataFrame, key: str = "sample_id") -> DataFrame:
     return (rows.join(dups, [key, "table_name", "row_i"], "left_anti")
             .groupBy(key, "table_name").agg(F.count(lit(1)).alias("rows_inserted")))
 
-
-def as_of_date() -> _dt.date:
-    return AS_OF

@@ -38,7 +38,7 @@ def load_samples(spark, d):
 @register("limit_samples", FX.with_views("samples") + "SELECT * FROM samples ORDER BY sample_id LIMIT 100")
 def limit_samples(spark, d):
     # first N in dataset order: an order key is mandatory (bare limit is nondeterministic)
-    return FX.samples(spark, d).orderBy("sample_id").limit(100)
+    return C.limit_samples(FX.samples(spark, d), 100)
 
 
 @register("format_samples", FX.with_views("samples") + FORMAT_SQL)

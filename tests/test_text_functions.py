@@ -136,3 +136,40 @@ def test_timestampdiff_variants(spark):
 def test_mysql_format_translation():
     assert DL.mysql_to_spark_format("%Y-%m-%d %H:%i:%s") == "yyyy-MM-dd HH:mm:ss"
     assert DL.mysql_to_spark_format("%M %Y") == "MMMM yyyy"
+
+
+def test_resolve_attempts_rules(spark):
+    a = spark.createDataFrame(
+        [(1, 1, "", None), (1, 2, "  SELECT 1;  ", None), (1, 3, "x", None),      # 2nd attempt wins, stripped
+         (2, 1, "<|end|>" * 6, None), (2, 2, "", None), (2, 3, "<|im_end|>" * 6, None),  # last loops
+         (3, 1, "", None), (3, 2, "<|end|>" * 6, None), (3, 3, "", None),          # last empty
+         (4, 1, None, "timeout"), (4, 2, None, "timeout"), (4, 3, "ok", "boom")],  # errors
+        "prompt_id long, attempt int, response string, error string")
+    p = spark.createDataFrame([(1, "x"), (2, "find rows"), (3, "x"), (4, "get")], "prompt_id long, prompt string")
+    out = {r.prompt_id: r for r in R.resolve_attempts(a, p).collect()}
+    assert (out[1].outcome, out[1].decided_by_attempt, out[1].response) == ("ok", 2, "SELECT 1;")
+    assert (out[2].outcome, out[2].response) == ("fallback", TX.FALLBACK_SQL_TEXT)
+    assert (out[3].outcome, out[3].response) == ("none", None)
+    assert (out[4].outcome, out[4].response) == ("none", None)
+
+
+def test_ensemble_vote_tie_goes_to_first_model(spark):
+    df = spark.createDataFrame([(1, 1, "SELECT b FROM t"), (1, 2, "select a from t;"), (1, 3, "SELECT  a FROM t"),
+                                (2, 1, "SELECT x FROM t"), (2, 2, "SELECT y FROM t")],
+                               "p long, model int, sql string")
+    out = {r.p: r for r in EV.ensemble_vote(df, "p", "model", "sql").collect()}
+    assert (out[1].sql_key, out[1].votes) == ("select a from t", 2)
+    assert (out[2].sql_key, out[2].first_model) == ("select x from t", 1)
+
+
+def test_cross_matrix_zero_fill(spark):
+    df = spark.createDataFrame([("d1", "x"), ("d1", "x"), ("d2", "y")], "domain string, c string")
+    out = {r.domain: (r.x, r.y, r.z) for r in P.cross_matrix(df, "domain", "c", ["x", "y", "z"]).collect()}
+    assert out == {"d1": (2, 0, 0), "d2": (0, 1, 0)}
+
+
+def test_limit_samples_falsy_keeps_all(spark):
+    from tessera.operators import corpus as C
+    df = spark.range(10).withColumnRenamed("id", "sample_id")
+    assert C.limit_samples(df, 0).count() == 10
+    assert [r.sample_id for r in C.limit_samples(df, 3).collect()] == [0, 1, 2]
