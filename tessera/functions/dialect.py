@@ -67,13 +67,26 @@ def _rules(names=None):
     return [r for r in REWRITE_RULES if names is None or r[0] in names]
 
 
+FORMAT_GUARD = r"(?i)(date_format|strftime)\s*\("
+
+
 def dialect_normalize(x, names=None) -> Column:
     """Rewrite MySQL / T-SQL / SQLite idioms in a SQL text column into
     Spark SQL. Functions Spark already has (NOW, CURDATE, TIMESTAMPDIFF,
-    DATEDIFF, YEAR/MONTH/DAY, EXTRACT, IFNULL, ISNULL) are left alone."""
+    DATEDIFF, YEAR/MONTH/DAY, EXTRACT, IFNULL, ISNULL) are left alone.
+    The many format-token rules only run on texts that have a format call
+    (one guard scan instead of ~45 replace passes per text)."""
     c = F.col(x) if isinstance(x, str) else x
-    for _, pat, rep in _rules(names):
+    fmt_rules = [r for r in _rules(names) if r[0].startswith("date_format_")]
+    for name, pat, rep in _rules(names):
+        if name.startswith("date_format_"):
+            continue
         c = F.regexp_replace(c, pat, rep)
+        if name == "strftime" and fmt_rules:
+            f = c
+            for _, p2, r2 in fmt_rules:
+                f = F.regexp_replace(f, p2, r2)
+            c = F.when(c.rlike(FORMAT_GUARD), f).otherwise(c)
     return c
 
 

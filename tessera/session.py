@@ -14,11 +14,10 @@ AS_OF = _dt.date(2001, 7, 31)
 AS_OF_SQL = "DATE '2001-07-31'"
 
 
-def _base_conf(shuffle_partitions: int) -> dict[str, str]:
+def _base_conf() -> dict[str, str]:
     return {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.ansi.enabled": "true",
-        "spark.sql.shuffle.partitions": str(shuffle_partitions),
         # Runtime re-planning: coalesce small shuffles, split skewed partitions,
         # convert sort-merge to broadcast when the *measured* side is small.
         "spark.sql.adaptive.enabled": "true",
@@ -32,36 +31,50 @@ def _base_conf(shuffle_partitions: int) -> dict[str, str]:
     }
 
 
-def get_session(master: str | None = None, shuffle_partitions: int = 8,
+def _is_local(master: str | None) -> bool:
+    return bool(master) and master.startswith("local")
+
+
+def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "tessera", extra: dict | None = None) -> SparkSession:
     """Return (or create) a SparkSession with the engine's settings.
 
-    On a cluster the master and most resources come from spark-submit; only
-    SQL behaviour settings are forced here.
+    On a cluster the master, resources and the shuffle partition count come
+    from spark-submit (AQE coalesces / splits shuffle partitions at run
+    time); only SQL behaviour settings are forced here. Locally the shuffle
+    partition count defaults to 2 x cores.
     """
     b = SparkSession.builder.appName(app_name)
     if master:
         b = b.master(master)
-    conf = _base_conf(shuffle_partitions)
-    if master and master.startswith("local"):
+    conf = _base_conf()
+    if shuffle_partitions is not None:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if _is_local(master):
+        if shuffle_partitions is None:
+            cores = master[len("local["):-1] if master.startswith("local[") else "1"
+            n = os.cpu_count() if cores in ("*", "") else int(cores)
+            conf["spark.sql.shuffle.partitions"] = str(2 * max(1, n or 1))
         conf.setdefault("spark.driver.memory", os.environ.get("TESSERA_DRIVER_MEM", "16g"))
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only when it is unset
-    (tests, local runs) pick a fresh scratch folder."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    """The shared folder for lineage cuts and scratch output: the cluster's
+    ``spark.checkpoint.dir``. Only a local-mode session (tests) without the
+    setting gets a fresh folder of its own; on a cluster a machine-local
+    folder would be wrong, so its absence is an error."""
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not _is_local(spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         d = tempfile.mkdtemp(prefix="tessera-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(d)
     return d
