@@ -66,6 +66,19 @@ def topk_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
             .withColumn(rank_col, F.col("_r2").cast("bigint")).drop("_r2"))
 
 
+def top1_per_group(df: DataFrame, group: Sequence[str], order: Sequence[tuple[str, bool]]) -> DataFrame:
+    """Arg-max per group as ONE aggregation: the minimum of a struct whose
+    leading fields are the order keys (descending numeric keys negated).
+    Partial aggregation keeps one candidate row per group per task, so a hot
+    group costs no sort and no window. ``order``: (column, ascending) pairs;
+    descending keys must be numeric. Ties resolve on the following keys."""
+    keys = [(F.col(c) if asc else -F.col(c)).alias(f"_k{i}") for i, (c, asc) in enumerate(order)]
+    others = [c for c in df.columns if c not in group]
+    packed = F.struct(*keys, *[F.col(c) for c in others])
+    return (df.groupBy(*group).agg(F.min(packed).alias("_w"))
+              .select(*group, *[F.col(f"_w.{c}").alias(c) for c in others]))
+
+
 def period_growth(df: DataFrame, part: Sequence[str], period: str, value: str,
                   out: str = "growth_pct") -> DataFrame:
     """Period-over-period growth: ``lag`` over (part ordered by period) on an

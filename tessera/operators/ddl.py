@@ -95,6 +95,7 @@ def schema_type_histogram(columns: DataFrame) -> DataFrame:
 
 def schema_width(df: DataFrame, ddl: str, key: str = "sample_id") -> DataFrame:
     """Tables and columns per sample, computed inside each row."""
-    t = schema_tables(col(ddl))
-    return df.select(key, F.size(F.array_distinct(F.transform(t, lambda x: F.lower(x["table_name"])))).alias("n_tables"),
-                     F.size(F.flatten(F.transform(t, lambda x: x["columns"]))).alias("n_columns"))
+    staged = df.select(key, schema_tables(col(ddl)).alias("_t"))  # parsed once per row
+    t = col("_t")
+    return staged.select(key, F.size(F.array_distinct(F.transform(t, lambda x: F.lower(x["table_name"])))).alias("n_tables"),
+                         F.size(F.flatten(F.transform(t, lambda x: x["columns"]))).alias("n_columns"))

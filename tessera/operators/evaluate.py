@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as TX
-from tessera.operators.analytics import topk_per_group
+from tessera.operators.analytics import top1_per_group
 
 col = F.col
 lit = F.lit
@@ -153,8 +153,7 @@ def ensemble_vote(df: DataFrame, prompt: str, model_order: str, sql: str) -> Dat
     keyed = df.withColumn("_key", TX.normalize_sql(col(sql))).filter(col("_key").isNotNull())
     votes = keyed.groupBy(prompt, "_key").agg(F.count(lit(1)).alias("votes"),
                                                F.min(model_order).alias("first_model"))
-    w = topk_per_group(votes, [prompt], [col("votes").desc(), col("first_model"), col("_key")], 1,
-                       rank_col="_rk", salt_buckets=1)
+    w = top1_per_group(votes, [prompt], [("votes", False), ("first_model", True), ("_key", True)])
     return w.select(prompt, col("_key").alias("sql_key"), "votes", "first_model")
 
 

@@ -370,8 +370,7 @@ def argmax_per_group(spark, d):
         .select("o_orderkey", "o_custkey")
     bought = (T(spark, d, "lineitem").join(top_orders, col("l_orderkey") == col("o_orderkey"))
               .groupBy("o_custkey", "l_partkey").agg(F.sum("l_quantity").alias("qty")))
-    best = A.topk_per_group(bought, ["o_custkey"], [col("qty").desc(), col("l_partkey")], 1,
-                            rank_col="rn", salt_on=["l_partkey"])
+    best = A.top1_per_group(bought, ["o_custkey"], [("qty", False), ("l_partkey", True)])
     return (F.broadcast(top).join(best, "o_custkey")
             .join(T(spark, d, "customer"), col("c_custkey") == col("o_custkey"))
             .join(T(spark, d, "part"), col("p_partkey") == col("l_partkey"))
