@@ -54,7 +54,7 @@ def samples_from(docs: DataFrame) -> DataFrame:
         col("doc_id").alias("sample_id"), col("source").alias("domain"),
         col("lang").alias("sql_complexity"),
         _pick(k, CONTEXTS).alias("sql_context"),
-        F.split_part(col("text"), F.lit("."), F.lit(1)).alias("sql_prompt"),
+        col("text").alias("sql_prompt"),  # the whole document text is the request
         _pick(k, GOLD_SQL).alias("sql"),
         F.when(col("doc_id") % 10 == 0, F.lit(None).cast("string"))
          .otherwise(F.concat(F.lit("Example from "), col("source"))).alias("sql_explanation"))
@@ -69,7 +69,7 @@ def responses_from(s: DataFrame) -> DataFrame:
     v = col("sample_id") % 8
     resp = (F.when(v == 0, F.concat(F.lit("```sql" + NL), sql, F.lit(NL + "```" + NL + NL + "Explanation: ok")))
             .when(v == 1, F.concat(F.lit("Use "), sql, F.lit(" to get it.")))
-            .when(v == 2, F.lit("I am not able to answer."))
+            .when(v == 2, col("sql_prompt"))  # prose without SQL: the whole document text
             .when(v == 3, F.lit(""))
             .when(v == 4, F.concat(F.lit(ESC + "[32m```sql" + NL), sql, F.lit(NL + "```" + ESC + "[0m")))
             .when(v == 5, F.lit("<|end|>" * 6))
@@ -120,7 +120,7 @@ def _case_sql(key: str, values) -> str:
 SQL = {
     "samples": f"""samples AS (SELECT doc_id AS sample_id, source AS domain, lang AS sql_complexity,
  {_case_sql('doc_id % 5', CONTEXTS)} AS sql_context,
- split_part(text, '.', 1) AS sql_prompt,
+ text AS sql_prompt,
  {_case_sql('doc_id % 5', GOLD_SQL)} AS sql,
  CASE WHEN doc_id % 10 = 0 THEN NULL ELSE concat('Example from ', source) END AS sql_explanation
 FROM documents)""",
@@ -128,7 +128,7 @@ FROM documents)""",
  CASE sample_id % 8
   WHEN 0 THEN concat('```sql', chr(10), sql, chr(10), '```', chr(10), chr(10), 'Explanation: ok')
   WHEN 1 THEN concat('Use ', sql, ' to get it.')
-  WHEN 2 THEN 'I am not able to answer.'
+  WHEN 2 THEN sql_prompt
   WHEN 3 THEN ''
   WHEN 4 THEN concat(chr(27), '[32m```sql', chr(10), sql, chr(10), '```', chr(27), '[0m')
   WHEN 5 THEN repeat('<|end|>', 6)
