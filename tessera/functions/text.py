@@ -66,7 +66,12 @@ def extract_sql(x) -> Column:
     # tells "matched" apart from "no match"; group 1 is then taken from the
     # short matched span only.
     fence = F.regexp_extract(s, FENCE_RE, 0)
-    bare = F.regexp_extract(s, BARE_RE, 0)
+    # Only text up to the last ';' can hold a bare statement. Searching that
+    # prefix gives the same first match, but every keyword tried there is
+    # followed by a ';', so '[^;]*;' never runs to the end of a long text
+    # (which would make prose full of 'with' / 'create' quadratic).
+    upto_last_semicolon = F.substring(s, 1, F.length(s) - F.length(F.substring_index(s, ";", -1)))
+    bare = F.regexp_extract(upto_last_semicolon, BARE_RE, 0)
     return (F.when(fence != F.lit(""), strip(F.regexp_extract(fence, FENCE_RE, 1)))
              .when(bare != F.lit(""), strip(bare))
              .otherwise(F.lit(None).cast("string")))
