@@ -189,14 +189,20 @@ def filter_by_values(df: DataFrame, column: str, values: Sequence[str]) -> DataF
     return df.filter(col(column).isin(list(values)))
 
 
+def word_count_literal(s: str) -> int:
+    return len(s.split())
+
+
 def supervised_spans(formatted: DataFrame, max_length: int = MAX_LENGTH) -> DataFrame:
     """A9 (re-aimed): token accounting of the causal-LM example with a
     portable whitespace tokenizer. Sequence = prompt + output + eos."""
-    prompt = F.concat(col("instruction"), lit("\n\n"), col("input"), lit(RESPONSE_MARK))
-    n_prompt = word_count(prompt)
-    n_total = n_prompt + word_count(col("output")) + lit(1)
+    # instruction + "\n\n" + input + marker: the separators are whitespace and
+    # the marker is two words, so counting the parts avoids building the
+    # concatenated (whole-document) prompt string.
+    n_prompt = word_count(col("instruction")) + word_count(col("input")) + lit(word_count_literal(RESPONSE_MARK))
     m = lit(max_length)
-    return (formatted.select("sample_id", n_prompt.alias("n_prompt"), n_total.alias("n_total"))
+    staged = formatted.select("sample_id", n_prompt.alias("n_prompt"), word_count(col("output")).alias("_n_out"))
+    return (staged.select("sample_id", "n_prompt", (col("n_prompt") + col("_n_out") + lit(1)).alias("n_total"))
             .withColumn("n_kept", F.least(col("n_total"), m))
             .withColumn("n_supervised", F.greatest(lit(0), col("n_kept") - F.least(col("n_prompt"), m)))
             .withColumn("is_truncated", col("n_total") > m))

@@ -26,7 +26,7 @@ def strip(x: str) -> str:
 
 
 def word_count(x: str) -> str:
-    return f"CAST(len(list_filter(regexp_split_to_array({x}, '\\s+'), lambda t: t <> '')) AS INTEGER)"
+    return f"CAST(len(regexp_extract_all({x}, '\\S+')) AS INTEGER)"
 
 
 def scrub(x: str) -> str:
