@@ -288,12 +288,15 @@ def unique_insert(cells: DataFrame, key: str = "sample_id") -> DataFrame:
     """Rows surviving UNIQUE / PRIMARY KEY constraints, per table.
     A row is skipped when a unique column repeats a value of an earlier row
     (exact for one unique column per table besides a generated key; with
-    several, a skipped row's other values are still counted as taken)."""
+    several, a skipped row's other values are still counted as taken).
+    rows_inserted = rows generated - distinct rows holding a repeat; the
+    window only sees cells of unique columns, in groups of equal values of
+    one table (at most MAX_ROWS cells each)."""
+    per_table = (cells.filter(col("col_pos") == 1).groupBy(key, "table_name")
+                 .agg(F.count(lit(1)).alias("_n")))
     w = Window.partitionBy(key, "table_name", "col_pos", "value").orderBy("row_i")
     dups = (cells.filter(col("is_unique"))
             .withColumn("_rn", F.row_number().over(w)).filter(col("_rn") > 1)
-            .select(key, "table_name", "row_i").distinct())
-    rows = cells.select(key, "table_name", "row_i").distinct()
-    return (rows.join(dups, [key, "table_name", "row_i"], "left_anti")
-            .groupBy(key, "table_name").agg(F.count(lit(1)).alias("rows_inserted")))
-
+            .groupBy(key, "table_name").agg(F.countDistinct("row_i").alias("_d")))
+    return (per_table.join(dups, [key, "table_name"], "left")
+            .select(key, "table_name", (col("_n") - F.coalesce(col("_d"), lit(0))).alias("rows_inserted")))
