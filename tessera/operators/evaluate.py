@@ -60,12 +60,15 @@ def prediction_errors(df: DataFrame, index: str = "query_index", valid: str = "i
 def keyword_match(df: DataFrame, response: str = "response", keywords: str = "expected_keywords") -> DataFrame:
     """Case-insensitive substring test of each expected keyword against
     the full response; score = found / expected (NULL without keywords)."""
-    up = F.upper(F.coalesce(col(response), lit("")))
-    kw = col(keywords)
+    # Upper-case the (possibly long) response once per row; inside the
+    # lambdas it is then a plain column reference, not a per-keyword copy.
+    staged = df.withColumn("_up", F.upper(F.coalesce(col(response), lit(""))))
+    up, kw = col("_up"), col(keywords)
     found = F.filter(kw, lambda k: F.contains(up, F.upper(k)))
     missing = F.filter(kw, lambda k: ~F.contains(up, F.upper(k)))
-    return df.withColumn("keywords_found", found).withColumn("keywords_missing", missing) \
-        .withColumn("keyword_score", F.round(F.size(found) / F.nullif(F.size(kw), lit(0)), 6))
+    return staged.withColumn("keywords_found", found).withColumn("keywords_missing", missing) \
+        .withColumn("keyword_score", F.round(F.size(col("keywords_found")) / F.nullif(F.size(kw), lit(0)), 6)) \
+        .drop("_up")
 
 
 def case_status(has_response: Column, has_sql: Column, is_valid: Column, is_executable: Column,

@@ -53,8 +53,12 @@ def resolve_attempts(attempts: DataFrame, prompts: DataFrame | None = None,
         col("last.attempt").alias("last_attempt"),
         (col("first_good").isNull() & col("last._loop") & ~col("last._err")).alias("use_fallback"))
     if prompts is not None:
-        out = out.join(prompts, key, "left")
-        fb = TX.fallback_response(col("prompt"))
+        # Only the fallback choice (a flag) travels through the join, not the
+        # prompt text itself.
+        flags = prompts.select(key, (TX.fallback_response(col("prompt")) == lit(TX.FALLBACK_SQL_TEXT))
+                               .alias("_sql_fallback"))
+        out = out.join(flags, key, "left")
+        fb = F.when(col("_sql_fallback"), lit(TX.FALLBACK_SQL_TEXT)).otherwise(lit(TX.FALLBACK_ERROR_TEXT))
     else:
         fb = lit(None).cast("string")
     outcome = (F.when(col("good_attempt").isNotNull(), lit("ok"))
