@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import analytics as A
 from tessera.plans import register
-from tessera.plans.params import (AS_OF, D7, D30, DAY_AFTER, M3, M6, M12, M24,
+from tessera.plans.params import (D7, D30, DAY_AFTER, M3, M6, M12, M24,
                                   NEXT_YEAR_START, YEAR_START, month_start,
                                   next_month_start, sql_date)
 from tessera.sources.tables import table as T
