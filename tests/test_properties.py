@@ -68,3 +68,29 @@ def test_chat_offsets_blocked_prefix(spark):
     seglen = len("<|im_start|>user\nab<|im_end|>\n")
     got = [r.char_offset for r in C.chat_turns(df, block=7).orderBy("turn").collect()]
     assert got == [i * seglen for i in range(3000)]
+
+
+def test_topk_per_group_hot_group_equals_plain_window(spark):
+    from pyspark.sql import Window
+    from tessera.operators import analytics as A
+    df = spark.range(0, 30000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise((F.col("id") % 50).cast("string")).alias("g"),
+        F.col("id"), ((F.col("id") * 7919) % 1000).alias("v"))
+    got = A.topk_per_group(df, ["g"], [F.col("v").desc(), F.col("id")], 5, salt_on=["id"])
+    w = Window.partitionBy("g").orderBy(F.col("v").desc(), F.col("id"))
+    ref = df.withColumn("rank", F.row_number().over(w).cast("bigint")).filter("rank <= 5")
+    cols = ["g", "id", "v", "rank"]
+    assert got.select(cols).exceptAll(ref.select(cols)).count() == 0
+    assert ref.select(cols).exceptAll(got.select(cols)).count() == 0
+
+
+def test_top1_aggregation_equals_window(spark):
+    from pyspark.sql import Window
+    from tessera.operators import analytics as A
+    df = spark.range(0, 20000).select((F.col("id") % 7).alias("g"), F.col("id"),
+                                      ((F.col("id") * 31) % 97).cast("double").alias("q"))
+    got = A.top1_per_group(df, ["g"], [("q", False), ("id", True)])
+    w = Window.partitionBy("g").orderBy(F.col("q").desc(), F.col("id"))
+    ref = df.withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r")
+    assert got.select("g", "id", "q").exceptAll(ref.select("g", "id", "q")).count() == 0
+    assert got.count() == 7
