@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textcols as tc
+from tessera.llm.shipping import ship
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -166,6 +167,7 @@ def assess(docs: DataFrame, text: str = "text", clean: bool = False) -> DataFram
             cols = [cleaned if clean and n == text else b.column(i) for i, n in enumerate(names)]
             yield pa.RecordBatch.from_arrays(cols + report, names=names + REPORT.names)
 
+    ship(docs.sparkSession)
     return base.mapInArrow(run, schema.schema)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import quality, sharding
+from tessera.llm import lexicon, quality, sharding, tokenfile
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,9 +17,26 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the installed public tokenizer files lie."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon.digests(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
+
+
+def op7_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.query(spark, documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_bpe_lexicon": op2_bpe_lexicon,
+        "op7_huffman_tokens": op7_huffman_tokens,
         "op9_two_pass_shuffle": sharding.query,
     }
 

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.llm.shipping import ship
 from tessera.session import ensure_checkpoint_dir
 
 N_SHARDS = 16
@@ -46,6 +47,7 @@ def write_shards(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text
                  path: str | None = None) -> str:
     """Write every row of ``docs`` to ``path`` (Parquet, partitioned by shard,
     rows in slot order inside each bucket file) and return the path."""
+    ship(spark)
     path = path or f"{ensure_checkpoint_dir(spark)}/shards-{uuid.uuid4().hex}"
     own = ["size", "shard", "bucket", "slot", "grown_shard"]
     rows = docs.select(*[c for c in docs.columns if c not in own]) \

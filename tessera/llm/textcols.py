@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -175,6 +176,14 @@ def repeated(keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An index of each distinct key, and per key the number of its distinct one."""
+    use, kinds = pd.factorize(keys)
+    rep = np.empty(len(kinds), np.int64)
+    rep[use[::-1]] = np.arange(len(keys) - 1, -1, -1)     # the first one is written last
+    return rep, use
+
+
 def cover(flags: np.ndarray, k: int, n_items: int) -> np.ndarray:
     """Items covered by a flagged window of k items (flags by window start)."""
     d = np.zeros(n_items + 1, np.int32)
