@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import lexicon, quality, sharding, tokenfile
+from tessera.llm import fmindex, lexicon, quality, sharding, tokenfile
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op2_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.digests(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
+def op3_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fmindex.digests(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.query(spark, documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
@@ -36,10 +40,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_bpe_lexicon": op2_bpe_lexicon,
+        "op3_fm_index": op3_fm_index,
         "op7_huffman_tokens": op7_huffman_tokens,
         "op9_two_pass_shuffle": sharding.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.ORACLE}
+    return {"op1_quality_rules": quality.ORACLE, "op3_fm_index": fmindex.ORACLE}
