@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import fmindex, lexicon, quality, sharding, tokenfile
+from tessera.llm import fmindex, lexicon, lzdedup, quality, sharding, tokenfile
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,15 +36,21 @@ def op7_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.query(spark, documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op8_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lzdedup.digests(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_bpe_lexicon": op2_bpe_lexicon,
         "op3_fm_index": op3_fm_index,
         "op7_huffman_tokens": op7_huffman_tokens,
+        "op8_relative_lz": op8_relative_lz,
         "op9_two_pass_shuffle": sharding.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.ORACLE, "op3_fm_index": fmindex.ORACLE}
+    return {"op1_quality_rules": quality.ORACLE, "op3_fm_index": fmindex.ORACLE,
+            "op8_relative_lz": lzdedup.ORACLE}
