@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import fmindex, lexicon, lzdedup, quality, sharding, tokenfile
+from tessera.llm import fmindex, icws, lexicon, licenses, lzdedup, quality, sharding, tokenfile
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,14 @@ def op3_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fmindex.digests(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
+def op5_icws_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return icws.query(documents(spark, sf_dir))
+
+
 def op7_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.query(spark, documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
@@ -45,6 +53,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": op1_quality_rules,
         "op2_bpe_lexicon": op2_bpe_lexicon,
         "op3_fm_index": op3_fm_index,
+        "op4_license_scan": op4_license_scan,
+        "op5_icws_near_dedup": op5_icws_near_dedup,
         "op7_huffman_tokens": op7_huffman_tokens,
         "op8_relative_lz": op8_relative_lz,
         "op9_two_pass_shuffle": sharding.query,
@@ -53,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_quality_rules": quality.ORACLE, "op3_fm_index": fmindex.ORACLE,
-            "op8_relative_lz": lzdedup.ORACLE}
+            "op4_license_scan": licenses.ORACLE, "op8_relative_lz": lzdedup.ORACLE}
