@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import fmindex, icws, lexicon, licenses, lzdedup, quality, sharding, tokenfile
+from tessera.llm import extract, fmindex, icws, lexicon, licenses, lzdedup, quality, sharding, tokenfile
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op5_icws_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return icws.query(documents(spark, sf_dir))
 
 
+def op6_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+
+
 def op7_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.query(spark, documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
@@ -55,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_fm_index": op3_fm_index,
         "op4_license_scan": op4_license_scan,
         "op5_icws_near_dedup": op5_icws_near_dedup,
+        "op6_text_density": op6_text_density,
         "op7_huffman_tokens": op7_huffman_tokens,
         "op8_relative_lz": op8_relative_lz,
         "op9_two_pass_shuffle": sharding.query,
