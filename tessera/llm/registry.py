@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import extract, fmindex, icws, lexicon, licenses, lzdedup, quality, sharding, tokenfile
+from tessera.llm import extract, fmindex, icws, lexicon, licenses, lzdedup, quality, secrets, sharding, tokenfile
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op8_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lzdedup.digests(documents(spark, sf_dir))
 
 
+def op10_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.query(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -63,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_huffman_tokens": op7_huffman_tokens,
         "op8_relative_lz": op8_relative_lz,
         "op9_two_pass_shuffle": sharding.query,
+        "op10_secret_forest": op10_secret_forest,
     }
 
 
