@@ -35,11 +35,13 @@ def _classes() -> np.ndarray:
     the tokenizers library, so that its Unicode version holds."""
     cls = np.full(0x110000, OTHER, np.uint8)
     points = np.r_[0:0xD800, 0xE000:0x110000]
-    every = "".join(map(chr, points))
-    for pattern, value in ((r"\p{L}+", LETTER), (r"\p{N}+", DIGIT), (r"\s+", SPACE)):
-        runs = pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(every)
-        for _, (lo, hi) in runs:
-            cls[points[lo:hi]] = value
+    split = [(pre_tokenizers.Split(Regex(pattern), "removed", invert=True), value)
+             for pattern, value in ((r"\p{L}+", LETTER), (r"\p{N}+", DIGIT), (r"\s+", SPACE))]
+    for part in np.array_split(points, 64):
+        every = "".join(map(chr, part))
+        for splitter, value in split:
+            for _, (lo, hi) in splitter.pre_tokenize_str(every):
+                cls[part[lo:hi]] = value
     return cls
 
 
@@ -81,7 +83,9 @@ class Bpe:
         vocab: dict[str, int] = model["vocab"]
         self.suffix = model.get("end_of_word_suffix") or ""
         self.word_ended = bool(self.suffix)
-        self.normalizer = Tokenizer.from_file(path).normalizer if self.word_ended else None
+        # the file's normalizer, without a second copy of its vocabulary
+        bare = spec | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": []}
+        self.normalizer = Tokenizer.from_str(json.dumps(bare)).normalizer if self.word_ended else None
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.size = 1 + max([*vocab.values(), *self.specials.values()])
         self.tokens = [""] * self.size

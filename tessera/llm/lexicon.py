@@ -33,7 +33,7 @@ from tessera.llm.shipping import ship
 
 MAX_WORDS = 1 << 16        # words compiled at most; bounds what is broadcast
 MAX_WORD_BYTES = 48        # longer words are always merged
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 3 << 20
 
 
 def word_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -204,59 +204,79 @@ def build(docs: DataFrame, path: str, text: str = "text", max_words: int = MAX_W
     return compile_words(words, [flat[a:b] for a, b in zip(offs[:-1], offs[1:])])
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", max_words: int = MAX_WORDS) -> DataFrame:
-    """``docs`` with the token ids of the whole text in array column ``ids``."""
-    block = build(docs, path, text, max_words)
-    sc = docs.sparkSession.sparkContext
-    shared = (uuid.uuid4().hex, sc.broadcast(block))
-    base = docs.select(*[c for c in docs.columns if c != ids])
+class _Decoder:
+    """Token strings of a file, each with a space after it, as one table."""
+
+    def __init__(self, path: str):
+        raw = [t.encode() + b" " for t in bpe.load(path).tokens]
+        self.lens = np.array([len(r) for r in raw], np.int64)
+        self.starts = np.cumsum(self.lens) - self.lens
+        self.table = np.frombuffer(b"".join(raw), np.uint8)
+
+    def texts(self, ids: np.ndarray, offs: np.ndarray) -> list[str]:
+        """Tokens joined by one space, per list of ids."""
+        out, lo, n = [], 0, len(offs) - 1
+        while lo < n:
+            hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + _DECODE_IDS, "right")) - 1)
+            k = ids[offs[lo]:offs[hi]]
+            at = np.concatenate([[0], np.cumsum(self.lens[k])])[offs[lo:hi + 1] - offs[lo]]
+            raw = self.table[tc.ragged(self.starts[k], self.lens[k])].tobytes()
+            out += [raw[x:max(x, y - 1)].decode("utf-8") for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
+            lo = hi
+        return out
+
+
+_DECODE_IDS = 1 << 18      # ids decoded at once
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None,
+           max_words: int = MAX_WORDS) -> DataFrame:
+    """``docs`` with the token ids of the whole text in array column ``ids``;
+    with ``decoded``, also the text decoded back from those ids (in the same
+    worker: a second one would double the memory)."""
+    ship(docs.sparkSession)
+    shared = (uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(build(docs, path, text, max_words)))
+    added = [ids] + [decoded] * (decoded is not None)
+    base = docs.select(*[c for c in docs.columns if c not in added])
     names = base.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, lex = bpe.load(path), _opened(shared)
+        decoder = _Decoder(path) if decoded is not None else None
         for b in batches:
             for lo, texts in bpe.text_lists(b.column(names.index(text)), SLICE_BYTES):
                 flat, offs = tok.encode(texts, lex.lookup)
-                col = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(flat, pa.int32()))
-                part = b.slice(lo, len(texts))
-                yield pa.RecordBatch.from_arrays([*part.columns, col], [*names, ids])
+                cols = [pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(flat, pa.int32()))]
+                if decoder is not None:
+                    cols.append(pa.array(decoder.texts(flat, offs), pa.string()))
+                yield pa.RecordBatch.from_arrays([*b.slice(lo, len(texts)).columns, *cols], [*names, *added])
 
-    ship(docs.sparkSession)
-    return base.mapInArrow(run, base.withColumn(ids, F.lit(None).cast("array<int>")).schema)
+    kinds = ["array<int>", "string"]
+    schema = base.select(*names, *[F.lit(None).cast(k).alias(n) for n, k in zip(added, kinds)]).schema
+    return base.mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``encoded`` with the decoded text of each id list: the file has no
     decoder, so tokens are joined by one space, special ones included."""
+    ship(encoded.sparkSession)
     base = encoded.select(*[c for c in encoded.columns if c != decoded])
     names = base.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = [t.encode() + b" " for t in bpe.load(path).tokens]
-        ends = np.cumsum([len(r) for r in raw])
-        starts, table = ends - [len(r) for r in raw], np.frombuffer(b"".join(raw), np.uint8)
-        lens = ends - starts
+        decoder = _Decoder(path)
         for b in batches:
-            col = b.column(names.index(ids))
+            col = b.column(names.index(ids)).fill_null([]) if b.column(names.index(ids)).null_count else b.column(names.index(ids))
             offs = np.asarray(col.offsets).astype(np.int64)
-            step, lo = 1 << 20, 0
-            while lo < len(col):
-                hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + step, "right")) - 1)
-                k = np.asarray(col.values)[offs[lo]:offs[hi]]
-                size = np.concatenate([[0], np.cumsum(lens[k])])[offs[lo:hi + 1] - offs[lo]]
-                text = table[tc.ragged(starts[k], lens[k])].tobytes()
-                texts = [text[x:max(x, y - 1)].decode("utf-8") for x, y in zip(size[:-1].tolist(), size[1:].tolist())]
-                part = b.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*names, decoded])
-                lo = hi
+            texts = decoder.texts(np.asarray(col.values), offs)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*names, decoded])
 
-    ship(encoded.sparkSession)
     return base.mapInArrow(run, base.withColumn(decoded, F.lit("")).schema)
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of ``docs``."""
-    both = decode(encode(docs.select("doc_id", "text"), path).drop("text"), path)
+    both = encode(docs.select("doc_id", "text"), path, decoded="decoded").drop("text")
     return both.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
