@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textcols as tc
+from tessera.llm.counts import keep
 from tessera.llm.shipping import ship
 
 WINDOW = 20
@@ -123,11 +124,10 @@ def duplicate_spans(docs: DataFrame, versions: bool = True) -> DataFrame:
                     pa.array(np.append(k[often].view(np.int64), 0)), pa.array(np.append(n[often], len(at))),
                     pa.array(np.append(np.zeros(often.sum(), bool), True))], ["k", "n", "total"])
 
-    # the row of the total comes first, then the most frequent anchors: a bounded list
-    top = docs.mapInArrow(heavy, "k bigint, n bigint, total boolean").groupBy("total", "k").agg(F.sum("n").alias("n")) \
-        .filter(F.col("total") | (F.col("n") >= SPLIT_LEAST)).orderBy(F.desc("total"), F.desc("n")) \
-        .limit(SPLIT_SHARE + 1).collect()
-    rows = [r["k"] for r in top[1:] if r["n"] * SPLIT_SHARE > top[0]["n"]]
+    often = keep(docs.mapInArrow(heavy, "k bigint, n bigint, total boolean").groupBy("total", "k")
+                 .agg(F.sum("n").alias("n")).filter(F.col("total") | (F.col("n") >= SPLIT_LEAST)), "anchors")
+    total = often.filter("total").agg(F.sum("n")).first()[0] or 0
+    rows = [r["k"] for r in often.filter(~F.col("total") & (F.col("n") > total // SPLIT_SHARE)).select("k").collect()]
     split = spark.sparkContext.broadcast(np.sort(np.array(rows, np.int64).view(tc.U64)))
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

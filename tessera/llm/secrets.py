@@ -10,7 +10,7 @@ documents are judged row by row: no shuffle of texts, no hot key.
 
 The dictionary is the ``DICTIONARY`` words of highest document frequency, counted
 over the whole corpus. The forest is trained on labelled findings: a bounded
-sample (``TRAIN_ROWS``, smallest hashes) of the corpus's candidates that the
+sample (``TRAIN_ROWS``, by hash) of the corpus's candidates that the
 labelling rules below decide, and ``SEED_ROWS`` made ones that hold each rule's
 pattern at any corpus size. A table of reviewed findings can be given instead.
 
@@ -27,6 +27,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.counts import frequent, keep
+
 DICTIONARY = 4096
 TRAIN_ROWS = 20_000
 SEED_ROWS = 1_200
@@ -51,11 +53,11 @@ PATH_WORDS = "(?i)test|example|sample|mock|fixture|docs?\\b"
 
 def dictionary(docs: DataFrame, text: str = "text", size: int = DICTIONARY) -> list[str]:
     """The most frequent words of 3 to 20 ASCII letters (lower case) by
-    document frequency; ties in order of the word."""
+    document frequency, ``size`` at most."""
     words = F.array_distinct(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z]+"))
-    rows = docs.select(F.explode(words).alias("w")).filter("length(w) BETWEEN 3 AND 20") \
-        .groupBy("w").count().orderBy(F.desc("count"), "w").limit(size).collect()
-    return [r["w"] for r in rows]
+    counts = docs.select(F.explode(words).alias("w")).filter("length(w) BETWEEN 3 AND 20") \
+        .groupBy("w").agg(F.count("*").alias("n"))
+    return sorted(r["w"] for r in frequent(counts, size).select("w").collect())
 
 
 def candidates(text: Column, source: Column) -> Column:
@@ -160,13 +162,15 @@ def seed_findings(spark: SparkSession, words: list[str], n: int = SEED_ROWS) ->
 
 def labelled_findings(docs: DataFrame, words: list[str], text: str = "text", source: str = "source",
                       n: int = TRAIN_ROWS) -> DataFrame:
-    """(x array<double>, label): corpus candidates that the rules decide, at most
-    ``n`` (smallest hashes, distinct values), and the made ones."""
+    """(x array<double>, label): the corpus's distinct candidates that the rules
+    decide, a sample of about ``n`` of them by hash if there are more, and the
+    made ones."""
     origin = F.col(source) if source in docs.columns else F.lit("")
-    found = docs.select(F.explode(candidates(F.col(text), origin)).alias("c")) \
+    found = keep(docs.select(F.explode(candidates(F.col(text), origin)).alias("c")) \
         .select("c.*").groupBy("kind", "value").agg(F.min(F.struct("context", "source")).alias("m")) \
-        .select("kind", "value", "m.context", "m.source") \
-        .withColumn("o", F.xxhash64("value", "kind")).orderBy("o", "value", "kind").limit(n)
+        .select("kind", "value", "m.context", "m.source"), "candidates")
+    share = min(1.0, n / max(1, found.count()))
+    found = found.filter(F.pmod(F.xxhash64("value", "kind"), F.lit(1 << 30)) < int(share * (1 << 30)))
     c = F.struct("kind", "value", "context", "source")
     decided = found.withColumn("c", c).withColumn("x", features(F.col("c"), words)) \
         .withColumn("label", rule_label(F.col("c"), F.col("x"))).filter("label IS NOT NULL").select("x", "label")
