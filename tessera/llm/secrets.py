@@ -115,8 +115,8 @@ def features(c: Column, words: list[str]) -> Column:
 def rule_label(c: Column, f: Column) -> Column:
     """Labelling rules: 1 secret, 0 false positive, null undecided."""
     placeholder, provider = f[13] == 1, f[14] == 1
-    return F.when(placeholder | (f[8] >= 0.5) | (f[6] < 0.2), 0.0) \
-        .when(provider, 1.0) \
+    return F.when(provider & ~placeholder, 1.0) \
+        .when(placeholder | (f[8] >= 0.5) | (f[6] < 0.2), 0.0) \
         .when((c["kind"] == "assigned") & (f[0] >= 12) & (f[4] > 0.1) & (f[4] < 1) & (f[1] > 0.15), 1.0) \
         .when((c["kind"] == "generic") & (f[11] == 0) & ((f[4] == 0) | (f[4] == 1) | (f[9] == 1)), 0.0)
 
@@ -145,6 +145,8 @@ def seed_findings(spark: SparkSession, words: list[str], n: int = SEED_ROWS) ->
         ("assigned", F.substring(mixed, F.lit(1), size), assigned, 1.0),
         ("provider key", F.concat(F.lit("AKIA"), F.upper(F.substring(mixed, 1, 16))), plain, 1.0),
         ("provider key", F.concat(F.lit("ghp_"), F.substring(mixed, 1, 36)), plain, 1.0),
+        ("private key", F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), F.repeat(F.concat(mixed, F.lit("+/\n")), (F.pmod(i, F.lit(40)) + 1).cast("int")),
+                                 F.lit("-----END RSA PRIVATE KEY-----")), plain, 1.0),
         ("assigned", F.concat(word(5), F.lit("_"), word(6)), assigned, 0.0),
         ("assigned", F.concat(F.lit("your_"), name, F.lit("_here")), assigned, 0.0),
         ("assigned", F.concat(word(6), word(7), word(8)), assigned, 0.0),
