@@ -1,7 +1,7 @@
-"""SQL dialect normalisation (R13, R14, F12) as an ordered chain of
-``regexp_replace`` rules over a column of SQL text. Target dialect: Spark
-SQL. The rules are data, rendered either as Spark Columns or (for the
-oracle) as DuckDB SQL; patterns stay in the Java/RE2 common subset.
+"""SQL dialect normalisation (R13, R14, F12) over a column of SQL text.
+Target dialect: Spark SQL. Fixed-text idioms are an ordered chain of
+``regexp_replace`` rules; calls with arguments are rewritten by a depth-aware
+scan. The oracle holds the results as literal texts.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.nesting import EDIT, edit, rewrite_calls
 from tessera.functions.text import ANSI_ESCAPE, CONTROL_CHARS
 
 # ---------------------------------------------------------------- fixed values
@@ -19,24 +20,16 @@ MYSQL_FORMAT_TOKENS = [
     ("%s", "ss"), ("%S", "ss"), ("%M", "MMMM"), ("%b", "MMM"), ("%W", "EEEE"), ("%a", "EEE"),
     ("%p", "a"), ("%j", "DDD"), ("%T", "HH:mm:ss"), ("%f", "SSSSSS"),
 ]
-# (name, pattern, replacement) applied in order; $n = capture group n.
-_ARG = r"((?:[^(),]|\([^()]*\))+?)"
-REWRITE_RULES = [
+# (name, pattern, replacement) applied in order; $n = capture group n. The calls
+# with arguments (CALLS) are rewritten between the two halves.
+CALLS = ["DATE_SUB", "DATE_ADD", "DATE_FORMAT", "STRFTIME"]
+RULES_BEFORE_CALLS = [
     ("ansi_escape", ANSI_ESCAPE, ""),
     ("control_chars", CONTROL_CHARS, ""),
     ("getdate", r"(?i)\bGETDATE\s*\(\s*\)", "current_timestamp()"),
     ("sysdate", r"(?i)\bSYSDATE\b(?:\s*\(\s*\))?", "current_timestamp()"),
-    ("date_sub_interval",
-     r"(?i)\bDATE_SUB\s*\(\s*" + _ARG + r"\s*,\s*INTERVAL\s+'?(\d+)'?\s+(\w+)\s*\)", "($1 - INTERVAL $2 $3)"),
-    ("date_add_interval",
-     r"(?i)\bDATE_ADD\s*\(\s*" + _ARG + r"\s*,\s*INTERVAL\s+'?(\d+)'?\s+(\w+)\s*\)", "($1 + INTERVAL $2 $3)"),
-    # SQLite strftime(fmt, x): %M is minutes there, so pin it before the swap.
-    ("strftime_minutes", r"((?i:strftime)\s*\(\s*'[^']*)%M", "$1mm"),
-    ("strftime", r"(?i)\bstrftime\s*\(\s*'([^']*)'\s*,\s*" + _ARG + r"\s*\)", "date_format($2, '$1')"),
-] + [
-    (f"date_format_{tok[1:]}", r"((?i:date_format)\s*\([^']*'[^']*)" + tok, "$1" + rep)
-    for tok, rep in MYSQL_FORMAT_TOKENS for _ in range(2)
-] + [
+]
+RULES_AFTER_CALLS = [
     ("year_literal_compare", r"((?i:date_format)\s*\([^)]*\))\s*(=|!=|<>|>=|<=|>|<)\s*(\d+)\b", "$1 $2 '$3'"),
     ("limit_comma", r"(?i)\bLIMIT\s+(\d+)\s*,\s*(\d+)", "LIMIT $2 OFFSET $1"),
     ("auto_increment", r"(?i)\s+AUTO_INCREMENT\b", ""),
@@ -63,30 +56,61 @@ IDIOMS = [
 # -----------------------------------------------------------------------------
 
 
-def _rules(names=None):
-    return [r for r in REWRITE_RULES if names is None or r[0] in names]
+CALL_GUARD = r"(?i)\b(" + "|".join(CALLS) + r")\s*\("
+INTERVAL_RE = "(?i)^\\s*INTERVAL\\s+['\"]?(\\d+)['\"]?\\s+(\\w+)\\s*$"
+LITERAL_RE = "^\\s*(?:'([^']*)'|\"([^\"]*)\")\\s*$"
+
+
+def spark_format(fmt: Column, minutes_as: str = "%i") -> Column:
+    """A MySQL / SQLite format string as a Spark datetime pattern: every
+    specifier is translated, letters between specifiers are quoted. SQLite's
+    minutes are ``%M``."""
+    table = dict(MYSQL_FORMAT_TOKENS) | {"%%": "%"}
+    if minutes_as == "%M":
+        table["%M"] = "mm"
+    names = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    tokens = F.regexp_extract_all(fmt, F.lit("(%.|[^%]+|%)"), F.lit(1))
+    return F.array_join(F.transform(tokens, lambda t: F.when(
+        t.startswith("%") & F.map_contains_key(names, t), F.element_at(names, t)).otherwise(
+        F.regexp_replace(t, "([A-Za-z]+)", "'$1'"))), "")
+
+
+def _call(name: Column, call: Column, comma: Column, close: Column, first: Column, second: Column) -> Column:
+    """Edits of one two-argument call (see ``rewrite_calls``)."""
+    def literal(x: Column) -> Column:
+        return F.concat(F.regexp_extract(x, LITERAL_RE, 1), F.regexp_extract(x, LITERAL_RE, 2))
 
+    def pattern(x: Column) -> Column:
+        # a pattern with quoted letters stands in double quotes
+        return F.when(x.contains("'"), F.concat(F.lit('"'), x, F.lit('"'))).otherwise(F.concat(F.lit("'"), x, F.lit("'")))
 
-FORMAT_GUARD = r"(?i)(date_format|strftime)\s*\("
+    sign = F.when(name == "DATE_SUB", " - ").otherwise(" + ")
+    interval = F.concat(sign, F.lit("INTERVAL "), F.regexp_extract(second, INTERVAL_RE, 1), F.lit(" "),
+                        F.regexp_extract(second, INTERVAL_RE, 2), F.lit(")"))
+    shifted = F.array(edit(call, call + F.length(name), F.lit("")), edit(comma, close + 1, interval))
+    formatted = F.array(edit(comma, close + 1, F.concat(F.lit(", "), pattern(spark_format(literal(second))), F.lit(")"))))
+    swapped = F.array(edit(call, comma + 1 + F.length(second) - F.length(F.ltrim(second)), F.lit("date_format(")),
+                      edit(close, close + 1, F.concat(F.lit(", "), pattern(spark_format(literal(first), "%M")), F.lit(")"))))
+    return F.when(name.isin("DATE_SUB", "DATE_ADD") & second.rlike(INTERVAL_RE), shifted) \
+        .when((name == "DATE_FORMAT") & second.rlike(LITERAL_RE), formatted) \
+        .when((name == "STRFTIME") & first.rlike(LITERAL_RE), swapped) \
+        .otherwise(F.array().cast(f"array<{EDIT}>"))
 
 
 def dialect_normalize(x, names=None) -> Column:
     """Rewrite MySQL / T-SQL / SQLite idioms in a SQL text column into
     Spark SQL. Functions Spark already has (NOW, CURDATE, TIMESTAMPDIFF,
-    DATEDIFF, YEAR/MONTH/DAY, EXTRACT, IFNULL, ISNULL) are left alone.
-    The many format-token rules only run on texts that have a format call
-    (one guard scan instead of ~45 replace passes per text)."""
+    DATEDIFF, YEAR/MONTH/DAY, EXTRACT, IFNULL, ISNULL) are left alone. Calls
+    are found at any nesting depth; only texts that hold one are scanned."""
     c = F.col(x) if isinstance(x, str) else x
-    fmt_rules = [r for r in _rules(names) if r[0].startswith("date_format_")]
-    for name, pat, rep in _rules(names):
-        if name.startswith("date_format_"):
-            continue
-        c = F.regexp_replace(c, pat, rep)
-        if name == "strftime" and fmt_rules:
-            f = c
-            for _, p2, r2 in fmt_rules:
-                f = F.regexp_replace(f, p2, r2)
-            c = F.when(c.rlike(FORMAT_GUARD), f).otherwise(c)
+    for name, pat, rep in RULES_BEFORE_CALLS:
+        if names is None or name in names:
+            c = F.regexp_replace(c, pat, rep)
+    if names is None:
+        c = F.when(c.rlike(CALL_GUARD), rewrite_calls(c, CALLS, _call)).otherwise(c)
+    for name, pat, rep in RULES_AFTER_CALLS:
+        if names is None or name in names:
+            c = F.regexp_replace(c, pat, rep)
     return c
 
 
@@ -118,17 +142,3 @@ def mysql_to_spark_format(fmt: str) -> str:
             out.append(f"'{ch}'" if ch.isalpha() else ch)
             i += 1
     return "".join(out)
-
-
-# ---------------------------------------------------------------- DuckDB text
-
-def _duck_rep(rep: str) -> str:
-    import re
-    return re.sub(r"\$\{?(\d)\}?", r"\\\1", rep)
-
-
-def dialect_normalize_sql(x: str, names=None) -> str:
-    from tessera.plans.sqltext import q
-    for _, pat, rep in _rules(names):
-        x = f"regexp_replace({x}, {q(pat)}, {q(_duck_rep(rep))}, 'g')"
-    return x

@@ -25,8 +25,7 @@ FALLBACK_SQL_TEXT = ("```sql\nSELECT * FROM table_name WHERE condition;\n```\n"
                      "Note: The model encountered an issue. Please provide a more specific "
                      "schema and query for better results.")
 FALLBACK_ERROR_TEXT = "Error: Unable to generate SQL query. Please check your input and try again."
-# -----------------------------------------------------------------------------
-
+SPACES = " \t\n\x0b\x0c\r"
 ANSI_ESCAPE = r"\x1b\[[0-9;]*[A-Za-z]"
 CONTROL_CHARS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 STARTERS_RE = "(" + "|".join(SQL_STARTERS) + ")"
@@ -36,6 +35,7 @@ FENCE_RE = r"(?is)```sql\s*(.*?)\s*```"
 # in the reference, so 'withdrawn;' is a hit). '[^;]*;' is the lazy '.*?;'
 # without backtracking.
 BARE_RE = r"(?is)" + STARTERS_RE + r"[^;]*;"
+# -----------------------------------------------------------------------------
 
 
 def _c(x) -> Column:
@@ -43,8 +43,8 @@ def _c(x) -> Column:
 
 
 def strip(x) -> Column:
-    """Python ``str.strip()``: Spark ``trim`` only removes spaces."""
-    return F.regexp_replace(_c(x), r"^\s+|\s+$", "")
+    """Python ``str.strip()`` of ASCII white space, linear in the text."""
+    return F.btrim(_c(x), F.lit(SPACES))
 
 
 def word_count(x) -> Column:

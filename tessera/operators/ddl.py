@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.nesting import split_top_level
 from tessera.functions.text import strip
 
 col = F.col
@@ -21,26 +22,15 @@ CONSTRAINT_WORDS = ["PRIMARY", "FOREIGN", "UNIQUE", "CHECK", "INDEX", "CONSTRAIN
 DEFAULT_TYPE = "TEXT"
 # -----------------------------------------------------------------------------
 
-CREATE_RE = r"(?i)CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?(\w+)"
-BODY_RE = r"(?is)CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?\w+\s*\((.*)\)"
+CREATE_RE = r"(?i)CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?[`\"]?(\w+)"
+BODY_RE = r"(?is)CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?[`\"]?\w+[`\"]?\s*\((.*)\)"
 QUOTES_RE = r"^[`\"\[\]]+|[`\"\[\]]+$"
-MASK = "\u0001"
-# a comma directly inside a parenthesis group (e.g. DECIMAL(10,2)); one pass
-# masks one comma per group, MASK_PASSES passes handle that many per group
-PAREN_COMMA_RE = r"\(([^(),]*),"
-MASK_PASSES = 3
 
 
 def statements(ddl: Column) -> Column:
-    """D1 as an array: ';'-separated, stripped, non-empty statements.
-    (A ';' inside a string literal would split; DDL rarely has one.)"""
-    return F.filter(F.transform(F.split(ddl, ";"), lambda s: strip(s)), lambda s: s != lit(""))
-
-
-def _mask(body: Column) -> Column:
-    for _ in range(MASK_PASSES):
-        body = F.regexp_replace(body, PAREN_COMMA_RE, "($1" + MASK)
-    return body
+    """D1 as an array: stripped, non-empty statements between the ';' that
+    stand outside quotes and parentheses."""
+    return F.filter(F.transform(split_top_level(ddl, ";"), lambda s: strip(s)), lambda s: s != lit(""))
 
 
 def _is_create(s: Column) -> Column:
@@ -51,8 +41,8 @@ def _column_entries(stmt: Column) -> Column:
     """array<struct<col_pos, col_name, col_type, is_unique>> of one CREATE
     TABLE statement: the parenthesised body split on top-level commas,
     constraint entries skipped, quotes stripped, type = 2nd token or TEXT."""
-    body = _mask(F.regexp_extract(stmt, BODY_RE, 1))
-    parts = F.filter(F.transform(F.split(body, ","), lambda p: strip(p)), lambda p: p != lit(""))
+    body = F.regexp_extract(stmt, BODY_RE, 1)
+    parts = F.filter(F.transform(split_top_level(body, ","), lambda p: strip(p)), lambda p: p != lit(""))
 
     def first_word(p):
         return F.regexp_replace(F.get(F.split(p, r"\s+"), 0), QUOTES_RE, "")
@@ -61,7 +51,7 @@ def _column_entries(stmt: Column) -> Column:
     return F.transform(kept, lambda p, i: F.struct(
         (i + 1).alias("col_pos"),
         first_word(p).alias("col_name"),
-        F.replace(F.coalesce(F.get(F.split(p, r"\s+"), 1), lit(DEFAULT_TYPE)), lit(MASK), lit(",")).alias("col_type"),
+        F.coalesce(F.get(F.split(p, r"\s+"), 1), lit(DEFAULT_TYPE)).alias("col_type"),
         F.upper(p).rlike(r"\bPRIMARY\s+KEY\b|\bUNIQUE\b").alias("is_unique")))
 
 

@@ -5,35 +5,17 @@ from __future__ import annotations
 from tessera.operators import ddl as D
 from tessera.plans import register
 from tessera.plans import fixtures as FX
-from tessera.plans.sqltext import q, strip
 
-STMTS = f"list_filter(list_transform(string_split(sql_context, ';'), lambda s: {strip('s')}), lambda s: s <> '')"
-
-
-def _mask(x: str) -> str:
-    for _ in range(D.MASK_PASSES):
-        x = f"regexp_replace({x}, {q(D.PAREN_COMMA_RE)}, '(\\1' || chr(1), 'g')"
-    return x
-
-
-def _first(p: str) -> str:
-    return f"regexp_replace(regexp_split_to_array({p}, '\\s+')[1], {q(D.QUOTES_RE)}, '', 'g')"
-
-
-_SKIP = "[" + ", ".join(f"'{w}'" for w in D.CONSTRAINT_WORDS) + "]"
-_CTE = FX.with_views("samples", extra=f"""
-st AS (SELECT sample_id, unnest({STMTS}) AS statement, unnest(generate_series(0, len({STMTS}) - 1)) AS stmt_pos FROM samples),
-tb AS (SELECT sample_id, stmt_pos, regexp_extract(statement, {q(D.CREATE_RE)}, 1) AS table_name,
-       {_mask(f"regexp_extract(statement, {q(D.BODY_RE)}, 1)")} AS body
-       FROM st WHERE upper(statement) LIKE 'CREATE%' AND regexp_matches(statement, {q(D.CREATE_RE)})),
-pt AS (SELECT sample_id, stmt_pos, table_name,
-       list_filter(list_filter(list_transform(string_split(body, ','), lambda p: {strip('p')}), lambda p: p <> ''),
-                   lambda p: NOT list_contains({_SKIP}, upper({_first('p')}))) AS parts FROM tb),
-cols AS (SELECT sample_id, stmt_pos, table_name, unnest(generate_series(1, len(parts))) AS col_pos,
-         unnest(parts) AS part FROM pt),
-cols2 AS (SELECT sample_id, table_name, CAST(col_pos AS INTEGER) AS col_pos, {_first('part')} AS col_name,
-  replace(coalesce(regexp_split_to_array(part, '\\s+')[2], '{D.DEFAULT_TYPE}'), chr(1), ',') AS col_type,
-  regexp_matches(upper(part), '\\bPRIMARY\\s+KEY\\b|\\bUNIQUE\\b') AS is_unique FROM cols)""")
+# The expected statements and columns are literal rows (fixtures.py), not a
+# second rendering of the parser's rules.
+_CTE = FX.with_views("samples", extra=",\n".join([
+    FX.values_sql("stmts", "c, stmt_pos, statement",
+                  [(c, i, s) for c, group in enumerate(FX.STATEMENTS) for i, s in enumerate(group)]),
+    FX.values_sql("decl", "c, table_name, col_pos, col_name, col_type, is_unique", FX.COLUMNS),
+    f"""st AS (SELECT sample_id, stmt_pos, statement FROM samples JOIN stmts ON sample_id % {FX.N_CASES} = c),
+cols2 AS (SELECT sample_id, table_name, CAST(col_pos AS INTEGER) AS col_pos, col_name, col_type, is_unique
+          FROM samples JOIN decl ON sample_id % {FX.N_CASES} = c),
+tb AS (SELECT DISTINCT sample_id, table_name FROM cols2)"""]))
 
 
 @register("split_statements", _CTE + "SELECT sample_id, CAST(stmt_pos AS INTEGER) AS stmt_pos, statement FROM st")
