@@ -5,12 +5,15 @@ rendering. All operators are lazy DataFrame -> DataFrame transforms.
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import word_count
+from tessera.session import ensure_checkpoint_dir
 
 col = F.col
 lit = F.lit
@@ -108,75 +111,98 @@ def split_key(id_col: str, seed: int = SPLIT_SEED) -> Column:
     return F.md5(F.concat(col(id_col).cast("string"), lit(f"-{seed}")))
 
 
-def _quotas(counts: DataFrame, label: str, frac: float) -> DataFrame:
-    """Per-label (stratum, quota) on the tiny per-label count table.
+EVERY = "__all__"
+SMALL_ROWS = 100_000  # rows of a per-label table that may be broadcast (about 100 bytes each)
+
+
+def _quotas(counts: DataFrame, frac: float) -> DataFrame:
+    """(_l, stratum, quota) from the per-label counts (_l, n_c).
 
     Stratified when the reference guard holds (smallest class >= 2, n > 20)
     and the validation / train sizes can hold one row per class (else the
     reference's stratified call raises and it falls back); otherwise every
     label maps to one stratum '__all__' with quota ceil(n * frac).
     Quotas: floor(n_c * val_n / n), remainder handed out one each by largest
-    fractional part, ties by label (exact integer arithmetic).
+    fractional part, ties by label (exact decimal arithmetic).
     """
-    wall = Window.partitionBy()
-    c = (counts
-         .withColumn("n", F.sum("n_c").over(wall))
-         .withColumn("n_classes", F.count(lit(1)).over(wall))
-         .withColumn("min_c", F.min("n_c").over(wall))
-         .withColumn("val_n", F.ceil(col("n") * lit(frac)).cast("bigint")))
-    guard = ((col("min_c") >= 2) & (col("n") > 20) & (col("val_n") >= col("n_classes"))
-             & ((col("n") - col("val_n")) >= col("n_classes")))
-    c = c.withColumn("stratum", F.when(guard, col(label)).otherwise(lit("__all__")))
-    s = (c.groupBy("stratum").agg(F.sum("n_c").alias("n_s"), F.first("n").alias("n"),
-                                  F.first("val_n").alias("val_n"))
-         .withColumn("base_q", F.floor(col("n_s") * col("val_n") / col("n")).cast("bigint"))
-         .withColumn("rem_num", (col("n_s") * col("val_n")) % col("n")))
-    s = (s.withColumn("fr_rank", F.row_number().over(wall.orderBy(col("rem_num").desc(), col("stratum"))))
-          .withColumn("rem", col("val_n") - F.sum("base_q").over(wall))
-          .withColumn("quota", col("base_q") + F.when(col("fr_rank") <= col("rem"), 1).otherwise(0)))
-    return c.select(label, "stratum").join(s.select("stratum", "quota"), "stratum")
-
-
-def quota_split(df: DataFrame, id_col: str, label: str, frac: float = VALIDATION_SPLIT,
+    total = counts.agg(F.sum("n_c").alias("n"), F.count(lit(1)).alias("n_classes"), F.min("n_c").alias("min_c")).first()
+    n = total["n"] or 0
+    val_n = math.ceil(n * frac)
+    guard = bool(n) and total["min_c"] >= 2 and n > 20 and total["n_classes"] <= min(val_n, n - val_n)
+    c = counts.withColumn("stratum", col("_l") if guard else lit(EVERY))
+    share = col("n_s").cast("decimal(18,0)") * lit(val_n).cast("decimal(18,0)")
+    s = c.groupBy("stratum").agg(F.sum("n_c").alias("n_s")) \
+        .withColumn("base_q", F.floor(share / lit(max(n, 1)).cast("decimal(18,0)")).cast("bigint")) \
+        .withColumn("rem_num", share % lit(max(n, 1)).cast("decimal(18,0)"))
+    rem = val_n - (s.agg(F.sum("base_q")).first()[0] or 0)      # fewer than the strata
+    # the strata with the largest remainders: a bounded top-k, no global ranking
+    extra = s.orderBy(col("rem_num").desc(), "stratum").limit(int(rem)).select("stratum", lit(1).alias("one"))
+    s = s.join(extra, "stratum", "left").withColumn("quota", col("base_q") + F.coalesce("one", lit(0)))
+    return c.select("_l", "stratum").join(s.select("stratum", "quota"), "stratum")
+
+
+def quota_split(df: DataFrame, id_col: str, label: str | None, frac: float = VALIDATION_SPLIT,
                 seed: int = SPLIT_SEED, bucket_hex: int = 4) -> DataFrame:
     """A5 + A6: exact-size validation split, class-proportional when the
-    guard allows, adding a ``split`` column ('train' / 'validation').
+    guard allows, adding a ``split`` column ('train' / 'validation'). A NULL
+    label is a class of its own; ``label=None`` is the plain random split.
 
     Membership: per stratum, the ``quota`` rows with the smallest
     md5(id || '-seed'). A per-stratum ``row_number`` would sort a hot stratum
-    (or, for the random split, the whole table) in one task. Instead:
-    histogram the first ``bucket_hex`` hex digits of the key per stratum
-    (partial aggregation, <= 16^bucket_hex rows per stratum), locate the
-    bucket where the cumulative count crosses the quota, take every row
-    below it, and rank only the rows inside that one bucket.
+    (or, for the random split, the whole table) in one task. Instead one
+    aggregation counts rows per label and leading ``bucket_hex`` hex digits of
+    the key; it is written to the shared folder (at most 16^bucket_hex rows per
+    label), so that the plans below know its size. The bucket where the
+    cumulative count crosses the quota is located, every row below it is
+    taken, and only rows inside that one bucket are ranked. The rows themselves
+    are never shuffled or sorted: they meet the per-label table in a broadcast
+    while it is small, and the random split has only literals.
     """
-    keyed = df.withColumn("_k", split_key(id_col, seed)).withColumn(
-        "_b", F.conv(F.substring("_k", 1, bucket_hex), 16, 10).cast("int"))
-    counts = df.groupBy(label).agg(F.count(lit(1)).alias("n_c"))
-    quotas = _quotas(counts, label, frac)
-    # One row per label: AQE broadcasts it from its measured size, and the
-    # identical count/quota sub-plans in the branches below are one reused
-    # exchange, so the input is scanned once per phase (counts, histogram,
-    # cut bucket, final), never sorted or shuffled as a whole.
-    keyed = keyed.join(quotas, label)
-    hist = keyed.groupBy("stratum", "_b").agg(F.count(lit(1)).alias("c"), F.first("quota").alias("quota"))
+    spark = df.sparkSession
+    name = lit(EVERY) if label is None else F.coalesce(F.concat(lit("="), col(label).cast("string")), lit("null"))
+    keyed = df.withColumn("_l", name).withColumn("_k", split_key(id_col, seed)) \
+        .withColumn("_b", F.conv(F.substring("_k", 1, bucket_hex), 16, 10).cast("int"))
+    hist_dir = f"{ensure_checkpoint_dir(spark)}/split-{uuid.uuid4().hex}"
+    keyed.groupBy("_l", "_b").agg(F.count(lit(1)).alias("c")).write.parquet(hist_dir)
+    hist = spark.read.schema("_l string, _b int, c bigint").parquet(hist_dir)
+    counts = hist.groupBy("_l").agg(F.sum("c").alias("n_c"))
+    if label is None:
+        n = counts.agg(F.sum("n_c")).first()[0] or 0
+        quotas = spark.createDataFrame([(EVERY, EVERY, math.ceil(n * frac))], "_l string, stratum string, quota bigint")
+    else:
+        quotas = _quotas(counts, frac)
+    by_stratum = hist.join(quotas, "_l").groupBy("stratum", "_b").agg(F.sum("c").alias("c"), F.first("quota").alias("quota"))
     w = Window.partitionBy("stratum").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    hist = hist.withColumn("cum", F.sum("c").over(w)).withColumn("prev", col("cum") - col("c"))
-    cut = (hist.filter((col("prev") < col("quota")) & (col("cum") >= col("quota")))
+    cut = (by_stratum.withColumn("cum", F.sum("c").over(w)).withColumn("prev", col("cum") - col("c"))
+           .filter((col("prev") < col("quota")) & (col("cum") >= col("quota")))
            .select("stratum", col("_b").alias("cut_b"), (col("quota") - col("prev")).alias("need")))
+    table_dir = f"{hist_dir}-cuts"
+    quotas.select("_l", "stratum").join(cut, "stratum").write.parquet(table_dir)
+    cuts = spark.read.schema("stratum string, _l string, cut_b int, need bigint").parquet(table_dir)
+
+    def meet(rows: DataFrame, table: DataFrame, n_rows: int, how: str) -> DataFrame:
+        return rows.join(F.broadcast(table) if n_rows <= SMALL_ROWS else table, "_l", how)
+
+    def literals(rows: DataFrame, table: DataFrame) -> DataFrame:
+        row = table.drop("_l").first()
+        kinds = dict(table.dtypes)
+        return rows.withColumns({c: lit(row[c] if row else None).cast(kinds[c]) for c in kinds if c != "_l"})
+
+    n_cuts = cuts.count()
     # Inside the cut bucket (about n_s / 16^bucket_hex rows) find the key of
     # the need-th row; everything at or below it is in validation.
-    inside = keyed.join(cut, "stratum").filter(col("_b") == col("cut_b"))
+    inside = literals(keyed, cuts) if label is None else meet(keyed, cuts, n_cuts, "inner")
     wb = Window.partitionBy("stratum").orderBy("_k", id_col)
-    thr = (inside.withColumn("_rn", F.row_number().over(wb)).filter(col("_rn") == col("need"))
+    thr = (inside.filter(col("_b") == col("cut_b")).withColumn("_rn", F.row_number().over(wb)).filter(col("_rn") == col("need"))
            .select("stratum", col("_k").alias("t_k"), col(id_col).alias("t_id")))
-    # The big table meets only per-stratum rows (broadcast): no shuffle of it.
-    j = keyed.join(cut, "stratum", "left").join(thr, "stratum", "left")
+    last_dir = f"{hist_dir}-last"
+    cuts.join(thr, "stratum").select("_l", "cut_b", "t_k", "t_id").write.parquet(last_dir)
+    last = spark.read.schema(f"_l string, cut_b int, t_k string, t_id {df.schema[id_col].dataType.simpleString()}").parquet(last_dir)
+    j = literals(keyed, last) if label is None else meet(keyed, last, n_cuts, "left")
     at_or_below = (col("_k") < col("t_k")) | ((col("_k") == col("t_k")) & (col(id_col) <= col("t_id")))
-    is_val = col("cut_b").isNotNull() & ((col("_b") < col("cut_b"))
-                                         | ((col("_b") == col("cut_b")) & at_or_below))
-    return (j.withColumn("split", F.when(is_val, lit("validation")).otherwise(lit("train")))
-            .drop("_k", "_b", "cut_b", "need", "stratum", "quota", "t_k", "t_id"))
+    is_val = (col("_b") < col("cut_b")) | ((col("_b") == col("cut_b")) & at_or_below)
+    return (j.withColumn("split", F.when(F.coalesce(is_val, lit(False)), lit("validation")).otherwise(lit("train")))
+            .drop("_l", "_k", "_b", "cut_b", "t_k", "t_id"))
 
 
 def split_balance(split_df: DataFrame, label: str) -> DataFrame:

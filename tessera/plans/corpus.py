@@ -64,13 +64,13 @@ def format_samples_enhanced(spark, d):
     return C.format_samples_enhanced(FX.samples(spark, d))
 
 
-@register("skip_bad_samples", FX.with_views("samples") + """
+@register("skip_bad_samples", FX.with_views("raw_samples") + """
 SELECT count(*) AS n_total,
  count(*) FILTER (WHERE sample_id IS NOT NULL AND sql_prompt IS NOT NULL AND sql IS NOT NULL) AS n_formatted,
  count(*) FILTER (WHERE NOT (sample_id IS NOT NULL AND sql_prompt IS NOT NULL AND sql IS NOT NULL)) AS n_skipped
-FROM samples""")
+FROM raw_samples""")
 def skip_bad_samples(spark, d):
-    s = FX.samples(spark, d)
+    s = FX.raw_samples(spark, d)
     ok = C.is_formattable(s)
     return s.agg(F.count(F.lit(1)).alias("n_total"),
                  F.count(F.when(ok, 1)).alias("n_formatted"),
@@ -114,8 +114,15 @@ def stratified_split(spark, d):
           "SELECT sample_id, split FROM split")
 def random_split(spark, d):
     # One stratum -> exactly ceil(0.1 n) rows with the smallest keys.
-    s = FX.samples(spark, d).select("sample_id").withColumn("_all", F.lit("all"))
-    return C.quota_split(s, "sample_id", "_all").select("sample_id", "split")
+    return C.quota_split(FX.samples(spark, d).select("sample_id"), "sample_id", None).select("sample_id", "split")
+
+
+# labels as they come: a NULL one is a class of its own, no row is lost
+@register("split_null_labels", FX.with_views("raw_samples")[:-1] + _split_sql("coalesce(domain, '~')").replace(
+    "FROM samples", "FROM raw_samples WHERE sample_id IS NOT NULL") + "SELECT sample_id, nullif(complexity, '~') AS domain, split FROM split")
+def split_null_labels(spark, d):
+    s = FX.raw_samples(spark, d).filter("sample_id IS NOT NULL").select("sample_id", "domain")
+    return C.quota_split(s, "sample_id", "domain").select("sample_id", "domain", "split")
 
 
 @register("split_balance", SPLIT_CTE + """
