@@ -13,7 +13,7 @@ The rule table is data, rendered both as a Spark Column and as DuckDB SQL
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.session import AS_OF
@@ -64,7 +64,7 @@ DATES_2024 = ["2024-01-10", "2024-01-25", "2024-02-08", "2024-02-22", "2024-03-0
               "2024-11-08", "2024-11-22", "2024-12-06", "2024-12-20"]
 FUTURE_OFFSETS = [1, 2, 3, 5, 7, 10, 4, 6, 8, 14]
 TIME_SUFFIX = " 10:30:00"
-DEFAULT_ROWS, MAX_ROWS, WEB_ROWS = 30, 100, 10
+DEFAULT_ROWS, WEB_ROWS = 30, 10
 # -----------------------------------------------------------------------------
 
 
@@ -99,8 +99,10 @@ TYPE_NORM = X(lambda: F.upper(F.coalesce(col("col_type"), lit(""))), "upper(coal
 I = X(lambda: col("row_i"), "row_i")
 NROWS = X(lambda: col("n_rows"), "n_rows")
 FIRST = X(lambda: col("first_col"), "first_col")
-H = X(lambda: F.pmod(col("sample_id") * 1000003 + col("col_pos") * 7919 + col("row_i") * 104729, lit(495001)),
-      "((sample_id * 1000003 + col_pos * 7919 + row_i * 104729) % 495001)")
+# reduced before it is multiplied: any 64-bit key is safe under ANSI arithmetic
+H = X(lambda: F.pmod(F.pmod(col("sample_id"), lit(495001)) * 1000003 + col("col_pos") * 7919
+                     + F.pmod(col("row_i").cast("bigint"), lit(495001)) * 104729, lit(495001)),
+      "((sample_id % 495001 * 1000003 + col_pos * 7919 + row_i % 495001 * 104729) % 495001)")
 
 
 def has(x: X, *subs: str) -> X:
@@ -264,8 +266,8 @@ def value_expr() -> tuple[X, X]:
 
 
 def row_count(requested: int | None) -> int:
-    """G1: requested rows (default 30), capped at 100 as the reference does."""
-    return min(requested or DEFAULT_ROWS, MAX_ROWS)
+    """G1: requested rows, 30 by default; any number."""
+    return requested or DEFAULT_ROWS
 
 
 def generate_rows(columns: DataFrame, n_rows: int = WEB_ROWS, key: str = "sample_id") -> DataFrame:
@@ -285,18 +287,30 @@ def generate_rows(columns: DataFrame, n_rows: int = WEB_ROWS, key: str = "sample
 
 
 def unique_insert(cells: DataFrame, key: str = "sample_id") -> DataFrame:
-    """Rows surviving UNIQUE / PRIMARY KEY constraints, per table.
-    A row is skipped when a unique column repeats a value of an earlier row
-    (exact for one unique column per table besides a generated key; with
-    several, a skipped row's other values are still counted as taken).
-    rows_inserted = rows generated - distinct rows holding a repeat; the
-    window only sees cells of unique columns, in groups of equal values of
-    one table (at most MAX_ROWS cells each)."""
+    """Rows surviving UNIQUE / PRIMARY KEY constraints, per table, when rows
+    are inserted in order: a row that repeats a value of an inserted row in a
+    unique column is skipped, and a skipped row takes no values.
+
+    With one unique column the survivors are its distinct values. With several,
+    insertion is sequential by definition: the table's unique cells (n_rows
+    times its unique columns, as requested by the caller) are folded in row
+    order inside one row."""
     per_table = (cells.filter(col("col_pos") == 1).groupBy(key, "table_name")
-                 .agg(F.count(lit(1)).alias("_n")))
-    w = Window.partitionBy(key, "table_name", "col_pos", "value").orderBy("row_i")
-    dups = (cells.filter(col("is_unique"))
-            .withColumn("_rn", F.row_number().over(w)).filter(col("_rn") > 1)
-            .groupBy(key, "table_name").agg(F.countDistinct("row_i").alias("_d")))
-    return (per_table.join(dups, [key, "table_name"], "left")
-            .select(key, "table_name", (col("_n") - F.coalesce(col("_d"), lit(0))).alias("rows_inserted")))
+                 .agg(F.count(lit(1)).alias("n_rows")))
+    by_col = (cells.filter("is_unique").groupBy(key, "table_name", "col_pos")
+              .agg(F.countDistinct("value").alias("_v"), F.count(F.when(col("value").isNull(), 1)).alias("_null"))
+              .groupBy(key, "table_name").agg(F.count(lit(1)).alias("_cols"), F.max(col("_v") + col("_null")).alias("_kept")))
+    several = cells.filter("is_unique").join(by_col.filter("_cols > 1").select(key, "table_name"), [key, "table_name"], "left_semi")
+    rows = several.groupBy(key, "table_name", "row_i").agg(
+        F.collect_list(F.concat_ws(":", "col_pos", "value")).alias("_keys"))
+
+    def insert(a: Column, r: Column) -> Column:
+        fits = ~F.arrays_overlap(a["taken"], r["_keys"])
+        return F.struct(F.when(fits, F.concat(a["taken"], r["_keys"])).otherwise(a["taken"]).alias("taken"),
+                        (a["n"] + F.when(fits, lit(1)).otherwise(lit(0))).alias("n"))
+
+    start = F.struct(F.array().cast("array<string>").alias("taken"), lit(0).cast("int").alias("n"))
+    folded = rows.groupBy(key, "table_name").agg(F.array_sort(F.collect_list(F.struct("row_i", "_keys"))).alias("_rows")) \
+        .select(key, "table_name", F.aggregate("_rows", start, insert, lambda a: a["n"].cast("bigint")).alias("_in_order"))
+    return (per_table.join(by_col, [key, "table_name"], "left").join(folded, [key, "table_name"], "left")
+            .select(key, "table_name", F.coalesce("_in_order", "_kept", "n_rows").alias("rows_inserted")))
