@@ -47,14 +47,13 @@ def evaluate_predictions(df: DataFrame, valid: str = "is_valid", executable: str
 
 
 def prediction_errors(df: DataFrame, index: str = "query_index", valid: str = "is_valid",
-                      executable: str = "is_executable", valid_msg: Column | None = None,
-                      exec_msg: Column | None = None) -> DataFrame:
-    """Rows failing either check, each error NULL when its check passed."""
-    vm = valid_msg if valid_msg is not None else lit(TX.BAD_START_MSG)
-    em = exec_msg if exec_msg is not None else lit("Query execution failed")
+                      executable: str = "is_executable", sql: str = "sql",
+                      valid_msg: str = "validation_message", exec_msg: str = "execution_message") -> DataFrame:
+    """Rows failing either check with their SQL and the check's message,
+    each error NULL when its check passed."""
     return df.filter(~col(valid) | ~col(executable)).select(
-        index, F.when(~col(valid), vm).alias("validation_error"),
-        F.when(~col(executable), em).alias("execution_error"))
+        index, sql, F.when(~col(valid), col(valid_msg)).alias("validation_error"),
+        F.when(~col(executable), col(exec_msg)).alias("execution_error"))
 
 
 def keyword_match(df: DataFrame, response: str = "response", keywords: str = "expected_keywords") -> DataFrame:
@@ -72,24 +71,35 @@ def keyword_match(df: DataFrame, response: str = "response", keywords: str = "ex
 
 
 def case_status(has_response: Column, has_sql: Column, is_valid: Column, is_executable: Column,
-                keyword_score: Column) -> Column:
-    """E5: FAIL without response or SQL; valid and executable -> PASS when
-    there are no keywords or score >= 0.7, else PARTIAL; otherwise FAIL."""
+                keyword_score: Column, error: Column | None = None) -> Column:
+    """E5: ERROR when running the case raised; FAIL without response or SQL;
+    valid and executable -> PASS when there are no keywords or score >= 0.7,
+    else PARTIAL; otherwise FAIL."""
     ok = is_valid & is_executable
-    return (F.when(~has_response | ~has_sql, lit("FAIL"))
+    raised = error.isNotNull() if error is not None else lit(False)
+    return (F.when(raised, lit("ERROR")).when(~has_response | ~has_sql, lit("FAIL"))
              .when(ok & (keyword_score.isNull() | (keyword_score >= lit(PASS_SCORE))), lit("PASS"))
              .when(ok, lit("PARTIAL")).otherwise(lit("FAIL")))
 
 
-def deploy_status(df: DataFrame, response: str = "response") -> DataFrame:
-    """Deployment smoke status: PASS iff a response without the loop
+def deploy_status(df: DataFrame, response: str = "response", raised: str | None = None) -> DataFrame:
+    """Deployment smoke status: ERROR when the request raised (column
+    ``raised`` holds the message); else PASS iff a response without the loop
     marker yields SQL that validates and keyword score > 0.5; no execution."""
+    failed = col(raised) if raised else lit(None).cast("string")
     r = col(response)
     usable = r.isNotNull() & (r != lit("")) & ~TX.has_loop_marker(r)
     sql = F.nullif(TX.extract_sql(r), lit(""))
     passed = usable & sql.isNotNull() & TX.is_valid_sql(sql) & (col("keyword_score") > lit(DEPLOY_SCORE))
-    return df.withColumn("status", F.when(passed, lit("PASS")).otherwise(lit("FAIL"))) \
-        .withColumn("error", F.when(~usable, lit(NO_RESPONSE)).when(sql.isNull(), lit(NO_SQL)))
+    return df.withColumn("status", F.when(failed.isNotNull(), lit("ERROR")).when(passed, lit("PASS")).otherwise(lit("FAIL"))) \
+        .withColumn("error", F.when(failed.isNotNull(), failed).when(~usable, lit(NO_RESPONSE)).when(sql.isNull(), lit(NO_SQL)))
+
+
+def deploy_summary(df: DataFrame, status: str = "status") -> DataFrame:
+    """E6 roll-up: an ERROR counts as failed."""
+    c = df.agg(F.count(lit(1)).alias("total"), F.count(F.when(col(status) == "PASS", 1)).alias("passed"),
+               F.count(F.when(col(status) != "PASS", 1)).alias("failed"), F.count(F.when(col(status) == "ERROR", 1)).alias("errors"))
+    return c.withColumn("success_rate", F.round(col("passed") / F.nullif(col("total"), lit(0)), 6))
 
 
 def suite_counts(df: DataFrame, status: str = "status") -> DataFrame:
@@ -129,6 +139,12 @@ def latency_stats(df: DataFrame, t: str = "response_time", ok: str = "success")
                   F.count(F.when(col(ok), 1)).alias("responses_received"))
 
 
+def latency_cases(df: DataFrame, key: str, response: str = "response") -> DataFrame:
+    """E12 per case: was a response received, and its length."""
+    got = F.coalesce(col(response), lit("")) != lit("")
+    return df.select(key, got.alias("response_received"), F.length(F.coalesce(col(response), lit(""))).cast("bigint").alias("response_length"))
+
+
 def latency_by_group(df: DataFrame, group: str, t: str = "response_time", ok: str = "success") -> DataFrame:
     """Per group average time and success rate. The reference keeps
     every time in a list; a group can be arbitrarily large here, so the
@@ -156,7 +172,8 @@ def ensemble_vote(df: DataFrame, prompt: str, model_order: str, sql: str) -> Dat
     keyed = df.withColumn("_key", TX.normalize_sql(col(sql))).filter(col("_key").isNotNull())
     votes = keyed.groupBy(prompt, "_key").agg(F.count(lit(1)).alias("votes"),
                                                F.min(model_order).alias("first_model"))
-    w = top1_per_group(votes, [prompt], [("votes", False), ("first_model", True), ("_key", True)])
+    # a model proposes one key per prompt, so (votes, first_model) decides
+    w = top1_per_group(votes, [prompt], [("votes", False), ("first_model", True)])
     return w.select(prompt, col("_key").alias("sql_key"), "votes", "first_model")
 
 

@@ -12,15 +12,15 @@ from tessera.plans import sqltext as S
 
 col = F.col
 
-STATUS_SQL = ("CASE WHEN is_valid AND is_executable AND (keyword_score IS NULL OR keyword_score >= 0.7) "
+STATUS_SQL = ("CASE WHEN error IS NOT NULL THEN 'ERROR' WHEN NOT has_response OR NOT has_sql THEN 'FAIL' WHEN is_valid AND is_executable AND (keyword_score IS NULL OR keyword_score >= 0.7) "
               "THEN 'PASS' WHEN is_valid AND is_executable THEN 'PARTIAL' ELSE 'FAIL' END")
 EV_STATUS = FX.with_views("eval_results", extra=f"st AS (SELECT *, {STATUS_SQL} AS status FROM eval_results)")
 
 
 def _status(spark, d):
     e = FX.eval_results(spark, d)
-    return e.withColumn("status", EV.case_status(F.lit(True), F.lit(True), col("is_valid"),
-                                                 col("is_executable"), col("keyword_score")))
+    return e.withColumn("status", EV.case_status(col("has_response"), col("has_sql"), col("is_valid"),
+                                                 col("is_executable"), col("keyword_score"), col("error")))
 
 
 @register("assemble_eval", FX.with_views("responses") + f"""
@@ -43,8 +43,8 @@ def evaluate_predictions(spark, d):
 
 
 @register("prediction_errors", FX.with_views("eval_results") + f"""
-SELECT query_index, CASE WHEN NOT is_valid THEN {S.q(TX.BAD_START_MSG)} END AS validation_error,
- CASE WHEN NOT is_executable THEN 'Query execution failed' END AS execution_error
+SELECT query_index, sql, CASE WHEN NOT is_valid THEN validation_message END AS validation_error,
+ CASE WHEN NOT is_executable THEN execution_message END AS execution_error
 FROM eval_results WHERE NOT is_valid OR NOT is_executable""")
 def prediction_errors(spark, d):
     return EV.prediction_errors(FX.eval_results(spark, d))
@@ -77,14 +77,30 @@ def case_status(spark, d):
 _DEPLOY_X = f"nullif({S.extract_sql('response')}, '')"
 
 
-@register("deploy_status", FX.with_views("responses", extra=_KW) + f"""
+_RAISED = "CASE WHEN sample_id % 17 = 4 THEN 'connection refused' END"
+_DEPLOY = FX.with_views("responses", extra=_KW) + f"""
 SELECT sample_id, keyword_score,
- CASE WHEN u AND x IS NOT NULL AND coalesce({S.is_valid_sql('x')}, false) AND keyword_score > 0.5 THEN 'PASS' ELSE 'FAIL' END AS status,
- CASE WHEN NOT u THEN {S.q(EV.NO_RESPONSE)} WHEN x IS NULL THEN {S.q(EV.NO_SQL)} END AS error
+ CASE WHEN raised IS NOT NULL THEN 'ERROR' WHEN u AND x IS NOT NULL AND coalesce({S.is_valid_sql('x')}, false) AND keyword_score > 0.5 THEN 'PASS' ELSE 'FAIL' END AS status,
+ CASE WHEN raised IS NOT NULL THEN raised WHEN NOT u THEN {S.q(EV.NO_RESPONSE)} WHEN x IS NULL THEN {S.q(EV.NO_SQL)} END AS error
 FROM (SELECT *, response IS NOT NULL AND response <> '' AND NOT {S.has_loop_marker('response')} AS u,
-      {_DEPLOY_X} AS x FROM kms)""")
+      {_DEPLOY_X} AS x, {_RAISED} AS raised FROM kms)"""
+
+
+def _deployed(spark, d):
+    r = _kw(spark, d).withColumn("raised", F.when(col("sample_id") % 17 == 4, F.lit("connection refused")))
+    return EV.deploy_status(r, raised="raised")
+
+
+@register("deploy_status", _DEPLOY)
 def deploy_status(spark, d):
-    return EV.deploy_status(_kw(spark, d)).select("sample_id", "keyword_score", "status", "error")
+    return _deployed(spark, d).select("sample_id", "keyword_score", "status", "error")
+
+
+@register("deploy_summary", f"""SELECT count(*) AS total, count(*) FILTER (WHERE status = 'PASS') AS passed,
+ count(*) FILTER (WHERE status <> 'PASS') AS failed, count(*) FILTER (WHERE status = 'ERROR') AS errors,
+ round(count(*) FILTER (WHERE status = 'PASS') / nullif(count(*), 0), 6) AS success_rate FROM ({_DEPLOY})""")
+def deploy_summary(spark, d):
+    return EV.deploy_summary(_deployed(spark, d))
 
 
 @register("suite_counts", EV_STATUS + """
@@ -132,6 +148,25 @@ def latency_stats(spark, d):
     return EV.latency_stats(FX.latency(spark, d))
 
 
+@register("latency_cases", FX.with_views("responses") + """
+SELECT sample_id, coalesce(response, '') <> '' AS response_received, CAST(length(coalesce(response, '')) AS BIGINT) AS response_length
+FROM responses""")
+def latency_cases(spark, d):
+    return EV.latency_cases(FX.responses(spark, d), "sample_id")
+
+
+# S7 per-test rows: what the report lists under its cards
+@register("eval_report_cases", EV_STATUS + """
+SELECT query_index, name, complexity, domain, status, keyword_score, sql AS generated_sql,
+ CASE WHEN NOT is_valid THEN validation_message END AS validation_error,
+ CASE WHEN NOT is_executable THEN execution_message END AS execution_error, error FROM st""")
+def eval_report_cases(spark, d):
+    return _status(spark, d).select(
+        "query_index", "name", "complexity", "domain", "status", "keyword_score", col("sql").alias("generated_sql"),
+        F.when(~col("is_valid"), col("validation_message")).alias("validation_error"),
+        F.when(~col("is_executable"), col("execution_message")).alias("execution_error"), "error")
+
+
 @register("latency_by_complexity", FX.with_views("latency") + """
 SELECT complexity, count(*) AS n_runs, round(avg(response_time), 6) AS avg_time,
  round(avg(CAST(success AS DOUBLE)), 6) AS success_rate, min(response_time) AS min_time,
@@ -143,12 +178,15 @@ def latency_by_complexity(spark, d):
 @register("compare_models", EV_STATUS + """
 SELECT complexity, a AS model_a, b AS model_b, round(b - a, 6) AS delta FROM (
  SELECT complexity,
-  round(avg(CASE WHEN status = 'PASS' THEN 1.0 ELSE 0.0 END) FILTER (WHERE query_index % 2 = 0), 6) AS a,
-  round(avg(CASE WHEN status = 'PASS' THEN 1.0 ELSE 0.0 END) FILTER (WHERE query_index % 2 = 1), 6) AS b
+  round(avg(CASE WHEN status = 'PASS' THEN 1.0 ELSE 0.0 END), 6) AS a,
+  round(avg(CASE WHEN query_index % 5 <> 0 AND status IN ('PASS', 'PARTIAL') THEN 1.0 ELSE 0.0 END), 6) AS b
  FROM st GROUP BY complexity)""")
 def compare_models(spark, d):
-    s = _status(spark, d).withColumn(
-        "model", F.when(col("query_index") % 2 == 0, F.lit("model_a")).otherwise(F.lit("model_b")))
+    # the same suite on both: model_b also passes partial cases, but fails every fifth one
+    b = F.when((col("query_index") % 5 != 0) & col("status").isin("PASS", "PARTIAL"), F.lit("PASS")).otherwise(F.lit("FAIL"))
+    runs = F.array(F.struct(F.lit("model_a").alias("model"), col("status").alias("status")),
+                   F.struct(F.lit("model_b").alias("model"), b.alias("status")))
+    s = _status(spark, d).select("complexity", F.inline(runs))
     return EV.compare_models(s, "complexity", "model", ["model_a", "model_b"])
 
 
@@ -160,7 +198,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY votes DESC, f
           "SELECT prompt_id, sql_key, votes, first_model FROM r WHERE rk = 1")
 def ensemble_vote(spark, d):
     a = FX.attempts(spark, d).withColumn("x", TX.extract_sql(TX.scrub_control_chars(col("response"))))
-    return EV.ensemble_vote(a.filter(col("x").isNotNull()), "prompt_id", "attempt", "x")
+    a = a.select("prompt_id", "attempt", F.explode(F.filter(F.array("x"), lambda x: x.isNotNull())).alias("x"))
+    return EV.ensemble_vote(a, "prompt_id", "attempt", "x")
 
 
 @register("quality_band", FX.with_views("eval_results") + """

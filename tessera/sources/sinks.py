@@ -35,10 +35,11 @@ def write_eval_results(results: DataFrame, out_dir: str, fmt: str = "json") -> s
 
 
 def eval_record(df: DataFrame) -> DataFrame:
-    """S4 record shape: name, status, metrics{...}, errors[], keyword lists."""
-    errors = F.filter(F.array(F.col("validation_error"), F.col("execution_error")), lambda e: e.isNotNull())
+    """S4 record shape: name, status, generated SQL, metrics{...}, keyword
+    lists, errors[]."""
+    errors = F.filter(F.array("validation_error", "execution_error", "error"), lambda e: e.isNotNull())
     return df.select(
-        F.col("query_index").alias("test_case"), "domain", "complexity", "status",
+        F.col("query_index").alias("test_case"), "name", "domain", "complexity", "status", F.col("sql").alias("generated_sql"),
         F.struct(F.col("is_valid").alias("is_syntactically_valid"), F.col("is_executable"),
                  F.col("keyword_score").alias("keyword_match_score")).alias("metrics"),
-        errors.alias("errors"))
+        "keywords_found", "keywords_missing", errors.alias("errors"))

@@ -20,10 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
+def register_views(spark: SparkSession, sf_dir: str, names=TABLES, prefix: str = "") -> None:
     """Expose tables as temp views for ``spark.sql``."""
     for n in names:
-        table(spark, sf_dir, n).createOrReplaceTempView(n)
+        table(spark, sf_dir, n).createOrReplaceTempView(prefix + n)
 
 
 # Raw text-to-SQL sample record: six strings plus our stable row key.
