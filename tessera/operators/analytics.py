@@ -67,16 +67,37 @@ def topk_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
 
 
 def top1_per_group(df: DataFrame, group: Sequence[str], order: Sequence[tuple[str, bool]]) -> DataFrame:
-    """Arg-max per group as ONE aggregation: the minimum of a struct whose
-    leading fields are the order keys (descending numeric keys negated).
-    Partial aggregation keeps one candidate row per group per task, so a hot
-    group costs no sort and no window. ``order``: (column, ascending) pairs;
-    descending keys must be numeric. Ties resolve on the following keys."""
-    keys = [(F.col(c) if asc else -F.col(c)).alias(f"_k{i}") for i, (c, asc) in enumerate(order)]
-    others = [c for c in df.columns if c not in group]
-    packed = F.struct(*keys, *[F.col(c) for c in others])
-    return (df.groupBy(*group).agg(F.min(packed).alias("_w"))
-              .select(*group, *[F.col(f"_w.{c}").alias(c) for c in others]))
+    """Arg-max per group by hash aggregations on one flat numeric key at a time
+    (the minimum of a struct, or of a text, would plan a sort aggregation):
+    the best value of the first key per group, then of the next key among its
+    ties, and so on. Partial aggregation keeps one number per group and task,
+    so a hot group costs no sort and no window. ``order``: (column, ascending)
+    pairs of numeric columns that make the order total."""
+    for c, asc in order:
+        best = df.groupBy(*group).agg((F.min if asc else F.max)(c).alias("_best"))
+        same = [F.col(f"l.{g}").eqNullSafe(F.col(f"r.{g}")) for g in group]
+        df = df.alias("l").join(best.alias("r"), [*same, F.col(f"l.{c}") == F.col("r._best")]).select("l.*")
+    return df
+
+
+def left_join_hot_right(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """Left outer join whose right side may hold a hot key: AQE cannot split
+    the right side of an outer join, but it splits either side of an inner one.
+    So the matches are an inner join, and the misses an anti join against the
+    distinct right keys (one row per key and task before the exchange)."""
+    hits = left.join(right, F.col(left_key) == F.col(right_key))
+    keys = right.select(F.col(right_key).alias("_key")).distinct()
+    misses = left.join(keys, F.col(left_key) == F.col("_key"), "left_anti")
+    return hits.unionByName(misses, allowMissingColumns=True)
+
+
+SMALL_ROWS = 1_000_000  # rows of a few numbers each that may be broadcast
+
+
+def small_side(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``limit`` rows (counted, and
+    no further than that), so that the other side is not shuffled to meet it."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
 def period_growth(df: DataFrame, part: Sequence[str], period: str, value: str,

@@ -49,25 +49,30 @@ def query_length_stats(df: DataFrame, sql_col: str = "sql") -> DataFrame:
 def corpus_report(df: DataFrame, complexity: str = "sql_complexity", domain: str = "domain",
                   sql_col: str = "sql") -> DataFrame:
     """Total, per-complexity, per-domain counts and SQL length stats in
-    long format (metric, key, value) from ONE scan:
-    GROUPING SETS ((complexity), (domain), (length), ())."""
-    base = df.select(F.coalesce(col(complexity), lit(UNKNOWN)).alias("cx"),
-                     F.coalesce(col(domain), lit(UNKNOWN)).alias("dm"),
-                     word_count(F.coalesce(col(sql_col), lit(""))).alias("len"))
-    g = (base.groupingSets([["cx"], ["dm"], ["len"], []], "cx", "dm", "len")
-         .agg(F.count(lit(1)).alias("c"), F.grouping_id().alias("gid")))
-    # grouping_id bits (cx, dm, len): 0b011 -> cx set, 0b101 -> dm, 0b110 -> len, 0b111 -> ()
-    counts = g.select(
-        F.when(col("gid") == 3, lit("complexity")).when(col("gid") == 5, lit("domain"))
-         .when(col("gid") == 7, lit("total_samples")).alias("metric"),
-        F.when(col("gid") == 3, col("cx")).when(col("gid") == 5, col("dm")).alias("key"),
-        col("c").cast("double").alias("value"), "gid").filter(col("gid") != 6).drop("gid")
-    stats = length_stats_from_hist(g.filter(col("gid") == 6).select("len", "c"))
-    stats_long = stats.selectExpr(
-        "stack(4, 'mean_length', mean_length, 'min_length', CAST(min_length AS DOUBLE), "
-        "'max_length', CAST(max_length AS DOUBLE), 'median_length', CAST(median_length AS DOUBLE)) "
-        "AS (metric, value)").select("metric", lit(None).cast("string").alias("key"), "value")
-    return counts.unionByName(stats_long)
+    long format (metric, key, value) from one scan and one aggregation: each
+    row counts once per (metric, key), the length statistics come from the
+    histogram rows folded in one final row per metric."""
+    facts = F.array(
+        F.struct(lit("complexity").alias("metric"), F.coalesce(col(complexity), lit(UNKNOWN)).alias("key"), lit(None).cast("int").alias("len")),
+        F.struct(lit("domain").alias("metric"), F.coalesce(col(domain), lit(UNKNOWN)).alias("key"), lit(None).cast("int").alias("len")),
+        F.struct(lit("length").alias("metric"), lit(None).cast("string").alias("key"),
+                 word_count(F.coalesce(col(sql_col), lit(""))).cast("int").alias("len")))
+    hist = df.select(F.explode(facts).alias("f")).select("f.*").groupBy("metric", "key", "len").agg(F.count(lit(1)).alias("c"))
+    # counts stay as they are; the lengths (one row per distinct length) are folded per metric
+    folded = hist.groupBy("metric", F.when(col("metric") != "length", col("key")).alias("key")).agg(
+        F.sum("c").alias("n"), F.sum(col("len") * col("c")).alias("words"), F.min("len").alias("lo"), F.max("len").alias("hi"),
+        F.array_sort(F.collect_list(F.when(col("metric") == "length", F.struct("len", "c")))).alias("h"))
+    middle = F.floor(col("n") / 2) + 1
+    walked = F.aggregate("h", F.struct(lit(0).cast("bigint").alias("cum"), lit(None).cast("int").alias("at")),
+                         lambda a, x: F.struct((a["cum"] + x["c"]).alias("cum"),
+                                               F.coalesce(a["at"], F.when(a["cum"] + x["c"] >= middle, x["len"])).alias("at")),
+                         lambda a: a["at"])
+    out = F.when(col("metric") != "length", F.array(
+        F.struct(col("metric").alias("metric"), col("key").alias("key"), col("n").cast("double").alias("value")))).otherwise(F.array(*[
+            F.struct(lit(m).alias("metric"), lit(None).cast("string").alias("key"), v.cast("double").alias("value"))
+            for m, v in [("total_samples", col("n")), ("mean_length", F.round(col("words") / col("n"), 6)),
+                         ("min_length", col("lo")), ("max_length", col("hi")), ("median_length", walked)]]))
+    return folded.select(F.inline(out))
 
 
 def min_class_count(df: DataFrame, label: str) -> DataFrame:

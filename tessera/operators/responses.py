@@ -21,12 +21,12 @@ SQL_REQUIRED_ERROR = "SQL query is required"
 MAX_ATTEMPTS = 3
 JOIN_KINDS = r"(?:JOIN|INNER\s+JOIN|LEFT\s+JOIN|RIGHT\s+JOIN|LEFT\s+OUTER\s+JOIN)"
 JOIN_END = r"(?=\bJOIN\b|\bWHERE\b|\bGROUP\b|\bORDER\b|\bLIMIT\b|\bHAVING\b|\)|\z)"
+JOIN_CLAUSE_RE = r"(?is)\b" + JOIN_KINDS + r"\s+(\w+)\s+(\w+)\s+ON\s+(.+?)" + JOIN_END
 # -----------------------------------------------------------------------------
 
-CREATE_TABLE_RE = r"(?i)CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?(\w+)"
+CREATE_TABLE_RE = r"(?i)CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?[`\"]?(\w+)"
 TABLE_REF_RE = r"(?i)\b(?:FROM|JOIN)\s+(\w+)"
 CTE_NAME_RE = r"(?i)(?:\bWITH|,)\s*(\w+)\s+AS\s*\("
-JOIN_CLAUSE_RE = r"(?is)\b" + JOIN_KINDS.replace("(?:", "(") + r"\s+(\w+)\s+(\w+)\s+ON\s+(.+?)" + JOIN_END
 
 
 def resolve_attempts(attempts: DataFrame, prompts: DataFrame | None = None,
@@ -43,15 +43,18 @@ def resolve_attempts(attempts: DataFrame, prompts: DataFrame | None = None,
         a = a.withColumn("_err", lit(False))
     a = (a.withColumn("_loop", TX.is_token_loop(col("_r")))
           .withColumn("_good", ~col("_err") & (col("_r") != lit("")) & ~col("_loop")))
+    # One number per prompt: attempts and flags packed, so this is a hash
+    # aggregation and no response text is shuffled for it. Only the deciding
+    # rows' texts are fetched afterwards.
+    flags = col("_loop").cast("bigint") * 2 + col("_err").cast("bigint")
     g = a.groupBy(key).agg(
-        F.min(F.when(col("_good"), F.struct(col("attempt"), col("_r")))).alias("first_good"),
-        F.max(F.struct(col("attempt"), col("_loop"), col("_err"))).alias("last"))
-    out = g.select(
-        key,
-        col("first_good.attempt").alias("good_attempt"),
-        col("first_good._r").alias("good_response"),
-        col("last.attempt").alias("last_attempt"),
-        (col("first_good").isNull() & col("last._loop") & ~col("last._err")).alias("use_fallback"))
+        F.min(F.when(col("_good"), col("attempt"))).alias("good_attempt"),
+        F.max(col("attempt").cast("bigint") * 4 + flags).alias("_last"))
+    g = g.withColumn("last_attempt", F.shiftright("_last", 2).cast(attempts.schema["attempt"].dataType)) \
+        .withColumn("use_fallback", col("good_attempt").isNull() & (F.pmod("_last", lit(4)) == 2))
+    text = a.filter("_good").select(col(key).alias("_p"), col("attempt").alias("_a"), col("_r").alias("good_response"))
+    out = g.join(text, (col(key) == col("_p")) & (col("good_attempt") == col("_a")), "left") \
+        .select(key, "good_attempt", "good_response", "last_attempt", "use_fallback")
     if prompts is not None:
         # Only the fallback choice (a flag) travels through the join, not the
         # prompt text itself.
@@ -130,8 +133,8 @@ def drop_ungrounded_joins(df: DataFrame, sql: str, ddl: str, out: str = "grounde
     per row from that row's unknown tables; rows without any keep their SQL
     untouched (the common case pays one regexp_extract_all)."""
     s = col(sql)
-    tabs = F.regexp_extract_all(s, F.lit(JOIN_CLAUSE_RE), 2)
-    als = F.regexp_extract_all(s, F.lit(JOIN_CLAUSE_RE), 3)
+    tabs = F.regexp_extract_all(s, F.lit(JOIN_CLAUSE_RE), 1)
+    als = F.regexp_extract_all(s, F.lit(JOIN_CLAUSE_RE), 2)
     known = declared_tables(col(ddl))
     pairs = F.filter(F.arrays_zip(tabs.alias("t"), als.alias("a")),
                      lambda p: ~F.array_contains(known, F.lower(p["t"])))

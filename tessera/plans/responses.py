@@ -22,6 +22,13 @@ def _extracted(spark, d):
     return r.select("sample_id", "sql_context", TX.extract_sql(TX.scrub_control_chars(col("response"))).alias("sql"))
 
 
+def _with_sql(spark, d):
+    """Responses that hold a statement. The null test is on a one-element array:
+    a plain filter would be pushed under the projection and extract twice."""
+    e = _extracted(spark, d).select("sample_id", "sql_context", F.array("sql").alias("one"))
+    return e.select("sample_id", "sql_context", F.explode(F.filter("one", lambda x: x.isNotNull())).alias("sql"))
+
+
 @register("scrub_control_chars", RESP + f"SELECT sample_id, {S.scrub('response')} AS scrubbed FROM responses")
 def scrub_control_chars(spark, d):
     return FX.responses(spark, d).select("sample_id", TX.scrub_control_chars(col("response")).alias("scrubbed"))
@@ -43,7 +50,7 @@ def validate_sql(spark, d):
 @register("classify_statement", RESP + f"""SELECT {S.statement_kind('x')} AS statement_kind, count(*) AS n
  FROM (SELECT {EXTRACTED} AS x FROM responses) WHERE x IS NOT NULL GROUP BY 1""")
 def classify_statement(spark, d):
-    e = _extracted(spark, d).filter(col("sql").isNotNull())
+    e = _with_sql(spark, d)
     return e.groupBy(TX.statement_kind(col("sql")).alias("statement_kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -119,7 +126,7 @@ def batch_validate(spark, d):
 @register("normalize_sql_case", RESP + f"""SELECT sample_id, {S.normalize_sql('x')} AS sql_key
 FROM (SELECT sample_id, {EXTRACTED} AS x FROM responses) WHERE x IS NOT NULL""")
 def normalize_sql_case(spark, d):
-    e = _extracted(spark, d).filter(col("sql").isNotNull())
+    e = _with_sql(spark, d)
     return e.select("sample_id", TX.normalize_sql(col("sql")).alias("sql_key"))
 
 
@@ -137,18 +144,24 @@ FROM (SELECT sample_id, sql_context, {EXTRACTED} AS x FROM responses) WHERE x IS
 
 @register("schema_grounding", RESP + _ground_sql())
 def schema_grounding(spark, d):
-    e = _extracted(spark, d).filter(col("sql").isNotNull())
+    e = _with_sql(spark, d)
     return R.schema_grounding(e, "sql", "sql_context")
 
 
-@register("drop_ungrounded_joins")  # Java look-ahead: no RE2 oracle; unit-tested
+# Java look-ahead has no RE2 twin; of the finite inputs one is changed, in every
+# schema (none declares the joined table), and the expected text is literal.
+@register("drop_ungrounded_joins", RESP + f"""SELECT sample_id, x AS sql,
+ CASE WHEN x = {S.q(FX.UNGROUNDED_SQL)} THEN {S.q(FX.GROUNDED_SQL)} ELSE x END AS grounded_sql
+FROM (SELECT sample_id, {EXTRACTED} AS x FROM responses) WHERE x IS NOT NULL""")
 def drop_ungrounded_joins(spark, d):
-    e = _extracted(spark, d).filter(col("sql").isNotNull())
+    e = _with_sql(spark, d)
     return R.drop_ungrounded_joins(e, "sql", "sql_context").select("sample_id", "sql", "grounded_sql")
 
 
-@register("dialect_normalize", FX.with_views("samples") + f"""SELECT sql, {DL.dialect_normalize_sql('sql')} AS spark_sql,
- {DL.dialect_normalize_sql('sql')} <> sql AS rewritten FROM (SELECT DISTINCT sql FROM samples)""")
+@register("dialect_normalize", FX.with_views("samples", extra=FX.values_sql(
+    "want", "gold, spark", [(FX.GOLD_SQL[c], s) for c, s in FX.SPARK_SQL.items()])) + """
+SELECT sql, coalesce(spark, sql) AS spark_sql, spark IS NOT NULL AS rewritten
+FROM (SELECT DISTINCT sql FROM samples) LEFT JOIN want ON sql = gold""")
 def dialect_normalize(spark, d):
     # de-duplicate first: a corpus repeats the same query text many times
     q = FX.samples(spark, d).select("sql").distinct()
@@ -156,15 +169,19 @@ def dialect_normalize(spark, d):
         .withColumn("rewritten", col("spark_sql") != col("sql"))
 
 
-@register("dialect_usage", FX.with_views("samples") + " UNION ALL ".join(
-    f"SELECT '{n}' AS idiom, count(*) FILTER (WHERE regexp_matches(sql, {S.q(p)})) AS n_queries FROM samples"
-    for n, p in DL.IDIOMS))
+@register("dialect_usage", FX.with_views("samples", extra=FX.values_sql(
+    "used", "c, idiom", [(c, n) for c, names in FX.IDIOMS.items() for n in names]) + ",\n" + FX.values_sql(
+    "idioms", "idiom", [(n,) for n, _ in DL.IDIOMS])) + f"""
+SELECT idioms.idiom, count(sample_id) AS n_queries FROM idioms LEFT JOIN used ON used.idiom = idioms.idiom
+LEFT JOIN samples ON sample_id % {FX.N_CASES} = c GROUP BY idioms.idiom""")
 def dialect_usage(spark, d):
     return R.dialect_usage(FX.samples(spark, d), "sql")
 
 
-@register("ddl_cleanup", FX.with_views("samples") + f"""SELECT sql_context,
- {DL.dialect_normalize_sql('sql_context', DL.DDL_RULES)} AS clean_ddl FROM (SELECT DISTINCT sql_context FROM samples)""")
+@register("ddl_cleanup", FX.with_views("samples", extra=FX.values_sql(
+    "want", "ddl, clean", [(FX.CONTEXTS[c], s) for c, s in FX.CLEAN_DDL.items()])) + """
+SELECT sql_context, coalesce(clean, sql_context) AS clean_ddl
+FROM (SELECT DISTINCT sql_context FROM samples) LEFT JOIN want ON sql_context = ddl""")
 def ddl_cleanup(spark, d):
     c = FX.samples(spark, d).select("sql_context").distinct()
     return c.select("sql_context", DL.ddl_cleanup(col("sql_context")).alias("clean_ddl"))

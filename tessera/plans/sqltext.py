@@ -22,7 +22,7 @@ def lit_text(s: str) -> str:
 
 
 def strip(x: str) -> str:
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    return f"trim({x}, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13)))"
 
 
 def word_count(x: str) -> str:

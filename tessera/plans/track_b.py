@@ -101,7 +101,8 @@ FROM customer c LEFT JOIN (SELECT o_orderkey, o_custkey, o_totalprice FROM order
                            WHERE o_orderdate >= {_d(D30)}) o ON c.c_custkey = o.o_custkey""")
 def null_test(spark, d):
     recent = T(spark, d, "orders").filter(A.since("o_orderdate", D30))
-    return (T(spark, d, "customer").join(recent, col("c_custkey") == col("o_custkey"), "left")
+    return (A.left_join_hot_right(T(spark, d, "customer").select("c_custkey"),
+                                  recent.select("o_custkey", "o_orderkey", "o_totalprice"), "c_custkey", "o_custkey")
             .select("c_custkey", col("o_orderkey").isNull().alias("no_recent_order"),
                     F.coalesce(col("o_totalprice"), F.lit(0.0)).alias("recent_total")))
 
@@ -231,7 +232,8 @@ FROM customer c LEFT JOIN (SELECT * FROM orders WHERE o_orderdate >= {_d(D30)})
 ON c.c_custkey = o.o_custkey""")
 def left_join(spark, d):
     recent = T(spark, d, "orders").filter(A.since("o_orderdate", D30))
-    return (T(spark, d, "customer").join(recent, col("c_custkey") == col("o_custkey"), "left")
+    return (A.left_join_hot_right(T(spark, d, "customer").select("c_custkey", "c_name"),
+                                  recent.select("o_custkey", "o_orderkey", "o_totalprice"), "c_custkey", "o_custkey")
             .select("c_custkey", "c_name", "o_orderkey", "o_totalprice"))
 
 
@@ -291,7 +293,8 @@ SELECT c_custkey, c_name, c_acctbal FROM customer c
 WHERE c_acctbal > 5000 AND EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey
   AND o.o_orderdate >= {_d(D7)} AND o.o_orderdate < {_d(DAY_AFTER)})""")
 def semi_join_filtered(spark, d):
-    week = T(spark, d, "orders").filter(A.since("o_orderdate", D7, DAY_AFTER))
+    # distinct keys first: a hot customer is one row per task before the exchange
+    week = T(spark, d, "orders").filter(A.since("o_orderdate", D7, DAY_AFTER)).select("o_custkey").distinct()
     return (T(spark, d, "customer").filter(col("c_acctbal") > 5000)
             .join(week, col("c_custkey") == col("o_custkey"), "left_semi")
             .select("c_custkey", "c_name", "c_acctbal"))
@@ -310,7 +313,7 @@ def low_stock_suppliers(spark, d):
 SELECT p_partkey, p_name FROM part p WHERE NOT EXISTS
  (SELECT 1 FROM lineitem l WHERE l.l_partkey = p.p_partkey AND l.l_shipdate >= {_d(D30)})""")
 def anti_join(spark, d):
-    recent = T(spark, d, "lineitem").filter(A.since("l_shipdate", D30))
+    recent = T(spark, d, "lineitem").filter(A.since("l_shipdate", D30)).select("l_partkey").distinct()
     return (T(spark, d, "part").join(recent, col("p_partkey") == col("l_partkey"), "left_anti")
             .select("p_partkey", "p_name"))
 
@@ -368,7 +371,9 @@ def argmax_per_group(spark, d):
     top = A.top_k(per, [col("s").desc(), col("o_custkey")], 5)
     top_orders = orders.join(F.broadcast(top.select("o_custkey")), "o_custkey", "left_semi") \
         .select("o_orderkey", "o_custkey")
-    bought = (T(spark, d, "lineitem").join(top_orders, col("l_orderkey") == col("o_orderkey"))
+    # the orders of five customers: broadcast when they are few, as lineitem then stays where it is
+    bought = (T(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+              .join(A.small_side(top_orders), col("l_orderkey") == col("o_orderkey"))
               .groupBy("o_custkey", "l_partkey").agg(F.sum("l_quantity").alias("qty")))
     best = A.top1_per_group(bought, ["o_custkey"], [("qty", False), ("l_partkey", True)])
     return (F.broadcast(top).join(best, "o_custkey")
@@ -411,9 +416,10 @@ SELECT segment, month, round(total, 2) AS total, round(prev, 2) AS prev_total,
 FROM (SELECT *, lag(total) OVER (PARTITION BY segment ORDER BY month) AS prev FROM m)""")
 def growth_lag(spark, d):
     o = T(spark, d, "orders").filter(A.since("o_orderdate", _dt.date(2001, 1, 1), _dt.date(2002, 1, 1)))
-    m = (o.join(T(spark, d, "customer"), col("c_custkey") == col("o_custkey"))
-         .groupBy(col("c_mktsegment").alias("segment"), A.month_key("o_orderdate").alias("month"))
-         .agg(F.sum("o_totalprice").alias("total")))
+    # one row per customer and month meets the customers, not one per order
+    per = o.groupBy("o_custkey", A.month_key("o_orderdate").alias("month")).agg(F.sum("o_totalprice").alias("s"))
+    m = (per.join(T(spark, d, "customer"), col("c_custkey") == col("o_custkey"))
+         .groupBy(col("c_mktsegment").alias("segment"), "month").agg(F.sum("s").alias("total")))
     g = A.period_growth(m, ["segment"], "month", "total")
     return g.select("segment", "month", F.round("total", 2).alias("total"),
                     F.round("prev_value", 2).alias("prev_total"), "growth_pct")
@@ -428,5 +434,6 @@ _ALL = ("region nation customer supplier part orders lineitem events documents e
 def load_test_tables(spark, d):
     # Register every table as a temp view, then query them through SQL.
     from tessera.sources.tables import register_views
-    register_views(spark, d, _ALL)
-    return spark.sql(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in _ALL))
+    # (under a prefix: a caller's own views of these names stay)
+    register_views(spark, d, _ALL, prefix="tessera_")
+    return spark.sql(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM tessera_{t}" for t in _ALL))
