@@ -31,14 +31,44 @@ def test_topk_per_group_limits_before_windows(spark):
     assert "_salt" in p
 
 
-def test_argmax_is_an_aggregation(spark):
-    p = plan(spark, "argmax_per_group")
-    assert "min(struct(" in p.replace(" ", "") or "min(named_struct" in p
+def physical(spark, name):
+    return E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
 
 
-def test_report_is_one_grouping_sets_scan(spark):
-    p = plan(spark, "corpus_report")
-    assert "Expand" in p
+def test_argmax_and_attempts_are_hash_aggregations(spark):
+    for name in ("argmax_per_group", "ensemble_vote", "resolve_attempts"):
+        p = physical(spark, name)
+        assert "HashAggregate" in p and "SortAggregate" not in p, name
+
+
+def test_report_scans_once(spark):
+    assert physical(spark, "corpus_report").count("FileScan parquet") == 1
+
+
+def test_extraction_is_not_run_for_a_null_filter(spark):
+    # one regexp_extract per pattern and use, none repeated in a pushed filter
+    assert "isnotnull(CASE WHEN" not in physical(spark, "classify_statement").replace("IsNotNull", "isnotnull")
+
+
+def test_year_compare_reaches_parquet(spark):
+    assert "GreaterThanOrEqual(o_orderdate,2000-01-01" in physical(spark, "fn_strftime_compare")
+
+
+def test_hot_right_keys_are_reduced_before_the_exchange(spark):
+    for name in ("semi_join_filtered", "anti_join", "left_join", "null_test"):
+        p = plan(spark, name)
+        assert "HashAggregate" in p, name
+
+
+def test_split_moves_no_rows(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("stratified_split", "random_split", "split_null_labels"):
+            p = physical(spark, name)
+            assert "Exchange hashpartitioning" not in p and "CartesianProduct" not in p and "NestedLoop" not in p, name
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
 def test_median_uses_histogram_not_percentile(spark):
