@@ -32,7 +32,12 @@ FORMAT_SQL = f"""SELECT sample_id, {_instr(DOM, CX)} AS instruction,
 
 @register("load_samples", FX.with_views("samples") + "SELECT * FROM samples")
 def load_samples(spark, d):
-    return FX.samples(spark, d)
+    # A Parquet corpus read through the loader (explicit schema)
+    from tessera.sources.sinks import scratch_path
+    from tessera.sources.tables import load_samples as load
+    path = scratch_path(spark, "corpus")
+    FX.samples(spark, d).write.parquet(path)
+    return load(spark, path).select("sample_id", "domain", "sql_complexity", "sql_context", "sql_prompt", "sql", "sql_explanation")
 
 
 @register("limit_samples", FX.with_views("samples") + "SELECT * FROM samples ORDER BY sample_id LIMIT 100")
