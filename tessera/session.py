@@ -32,7 +32,8 @@ def _base_conf() -> dict[str, str]:
 
 
 def _is_local(master: str | None) -> bool:
-    return bool(master) and master.startswith("local")
+    # not local-cluster[...]: its executors are processes of their own, as on a cluster
+    return bool(master) and (master == "local" or master.startswith("local["))
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
