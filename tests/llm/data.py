@@ -2,7 +2,6 @@
 
 import random
 
-import pytest
 from pyspark.sql import types as T
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
@@ -50,6 +49,3 @@ def same(got, want):
     """Rows as sorted lists are equal."""
     order = (lambda r: tuple((x is None, str(type(x)), x) if not isinstance(x, (list, dict)) else (False, "", str(x)) for x in r))
     assert sorted(map(tuple, got), key=order) == sorted(want, key=order)
-
-
-needs_tokenizers = pytest.importorskip("public_tokenizers")
