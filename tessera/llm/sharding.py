@@ -96,10 +96,17 @@ def write_shards(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text
     return path
 
 
+def read_shards(spark: SparkSession, path: str, docs: DataFrame) -> DataFrame:
+    """The rows of the shard files of ``docs`` (also when there are none)."""
+    own = {"size": "bigint", "grown_shard": "int", "slot": "bigint", "shard": "int"}
+    schema = docs.select(*[c for c in docs.columns if c not in own and c != "bucket"]) \
+        .withColumns({c: F.lit(None).cast(t) for c, t in own.items()}).schema
+    return spark.read.schema(schema).parquet(path)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    path = write_shards(spark, docs)
-    back = spark.read.parquet(path)
+    back = read_shards(spark, write_shards(spark, docs), docs)
     return back.select(
         "doc_id", "size", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
         F.lit("key").alias("law"), F.col("shard").cast("int").alias("shard"), "slot",
