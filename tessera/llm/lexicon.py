@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import bpe
 from tessera.llm import textcols as tc
+from tessera.llm.counts import frequent
 from tessera.llm.shipping import ship
 
 MAX_WORDS = 1 << 16        # words compiled at most; bounds what is broadcast
@@ -193,9 +194,8 @@ def _opened(shared) -> Lexicon:
 
 
 def build(docs: DataFrame, path: str, text: str = "text", max_words: int = MAX_WORDS) -> bytes:
-    """Compile the ``max_words`` most frequent pre-tokens (ties: bytewise)."""
-    top = word_counts(docs, path, text).orderBy(F.desc("n"), "word").limit(max_words).select("word").collect()
-    words = [bytes(r[0]) for r in top]
+    """Compile the most frequent pre-tokens, ``max_words`` at most."""
+    words = sorted(bytes(r[0]) for r in frequent(word_counts(docs, path, text), max_words).select("word").collect())
     if not words:
         return compile_words([], [])
     ends = np.cumsum([len(w) for w in words])
