@@ -68,6 +68,35 @@ def test_near_dedup_matches_brute_force(spark):
     assert {r["n_links"] for r in got} != {0}
 
 
+def test_near_dedup_of_buckets_that_need_many_rounds(spark, monkeypatch):
+    rng = random.Random(8)
+    real = icws.band_keys
+
+    def one_bucket(data, offs, idf):
+        keys, *rest = real(data, offs, idf)
+        return keys[:, :1] * 0, *rest
+
+    monkeypatch.setattr(icws, "band_keys", one_bucket)     # every text meets every other
+    rows = []
+    for k in range(2):                                     # windows of a long text: only neighbours are near
+        long = [f"w{rng.randrange(10**9)}" for _ in range(1400)]
+        rows += [(100 * k + j, " ".join(long[20 * j:20 * j + 204])) for j in range(60)]
+    docs = table(spark, rows)
+    idf = icws.idf_table(docs, "text")
+    parent = {i: i for i, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for (i, a), (j, b) in itertools.combinations(rows, 2):
+        if weighted(a, b, idf) >= icws.THRESHOLD:
+            x, y = find(i), find(j)
+            parent[max(x, y)] = min(x, y)
+    same([(r["doc_id"], r["class_id"]) for r in icws.classes(docs).collect()], [(i, find(i)) for i, _ in rows])
+
+
 def test_near_dedup_keeps_one_of_each_class(spark):
     rows = near_rows()
     docs = table(spark, rows)
