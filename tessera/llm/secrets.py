@@ -35,18 +35,20 @@ SEED_ROWS = 1_200
 TREES, DEPTH, FOREST_SEED = 20, 6, 11
 MASK = "[SECRET]"
 
-# Candidate patterns (all loops are over single characters: no recursion on long texts).
-PEM = "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[^-]*-----END [A-Z ]{0,20}PRIVATE KEY-----"
+# Candidate patterns (all loops are over single characters or possessive: no recursion on long texts).
+# A block ends at its END line; dashes inside are part of it, another BEGIN line is not.
+PEM = ("-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+"
+       "-----END [A-Z ]{0,20}PRIVATE KEY-----")
 PROVIDER = (r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,}|\bxox[abprs]-[A-Za-z0-9-]{10,}"
             r"|\bsk_(?:live|test)_[A-Za-z0-9]{16,}|\bAIza[0-9A-Za-z_-]{35}"
             r"|\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}")
 NAMES = r"password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|client[_-]?secret|auth[_-]?token"
-ASSIGN = rf"(?i:\b(?:{NAMES})\b[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?)"
+ASSIGN = rf"(?i:\b[A-Za-z0-9_]*(?:{NAMES})\b[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?)"
 ASSIGNED = ASSIGN + r"[^\s\"']{6,}"
-GENERIC = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}"
+GENERIC = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}"
 CANDIDATE = f"(?:{PEM}|{PROVIDER}|{ASSIGNED}|{GENERIC})"
-# with up to two words before it
-IN_CONTEXT = rf"(?:\S{{1,40}}+\s{{1,5}}+){{0,2}}?{CANDIDATE}"
+# up to two words before a candidate and what stands in its own word, from so many characters
+CONTEXT, BEFORE = r"(?:\S{1,40}\s{1,5}){0,2}\S{0,40}\z", 130
 PLACEHOLDER = "(?i)example|sample|dummy|placeholder|your|change.?me|xxxx|todo|fake|redacted|<|\\*\\*\\*"
 PATH_WORDS = "(?i)test|example|sample|mock|fixture|docs?\\b"
 
@@ -62,18 +64,27 @@ def dictionary(docs: DataFrame, text: str = "text", size: int = DICTIONARY) -> l
 
 def candidates(text: Column, source: Column) -> Column:
     """Array of (kind, value, context, source) found in a text."""
-    def parts(m: Column) -> Column:
-        # a match is its context and the candidate, which is the last thing in it
-        kind = F.when(m.rlike(f"{PEM}$"), "private key").when(m.rlike(f"(?:{PROVIDER})$"), "provider key") \
-            .when(m.rlike(f"{ASSIGNED}$"), "assigned").otherwise("generic")
-        found = F.regexp_extract(m, f"({CANDIDATE})$", 1)
+    def part(found: Column, before: Column) -> Column:
+        kind = F.when(found.rlike(f"^{PEM}$"), "private key").when(found.rlike(f"^(?:{PROVIDER})$"), "provider key") \
+            .when(found.rlike(f"^{ASSIGNED}$"), "assigned").otherwise("generic")
         value = F.when(kind == "assigned", F.regexp_replace(found, f"^{ASSIGN}", "")).otherwise(found)
+        name = F.substring(found, F.lit(1), F.length(found) - F.length(value))
         return F.struct(kind.alias("kind"), value.alias("value"),
-                        F.substring(m, F.lit(1), F.length(m) - F.length(value)).alias("context"),
+                        F.concat(F.regexp_extract(before, CONTEXT, 0), name).alias("context"),
                         F.coalesce(source, F.lit("")).alias("source"))
 
     none = F.array().cast("array<struct<kind:string,value:string,context:string,source:string>>")
-    found = F.transform(F.regexp_extract_all(text, F.lit(f"({IN_CONTEXT})"), F.lit(1)), parts)
+    def each(matches: Column) -> Column:
+        # of the pieces between the matches, what stands before each: its own piece
+        # after the match before it
+        tails = F.transform(F.split(text, CANDIDATE, -1), lambda x: F.right(x, F.lit(BEFORE)))
+        earlier = F.concat(F.array(F.lit("")), F.transform(matches, lambda x: F.right(x, F.lit(BEFORE))))
+        before = F.zip_with(earlier, tails, lambda e, t: F.right(F.concat(e, t), F.lit(BEFORE)))
+        return F.transform(F.arrays_zip(matches.alias("m"), F.slice(before, 1, F.size(matches)).alias("b")),
+                           lambda x: part(x["m"], x["b"]))
+
+    # the matches are bound once, as the only element of an array
+    found = F.flatten(F.transform(F.array(F.regexp_extract_all(text, F.lit(f"({CANDIDATE})"), F.lit(1))), each))
     return F.when(text.rlike(CANDIDATE), found).otherwise(none)
 
 
@@ -106,7 +117,7 @@ def features(c: Column, words: list[str]) -> Column:
         flag(value.rlike("/|\\.[a-z]{2,4}$") | context.rlike("(?:[:/.@]|://\\S*)$")),
         flag(c["source"].rlike(PATH_WORDS)),
         # neighbouring words
-        flag(context.rlike(f"(?i)\\b(?:{NAMES}|key|bearer|auth)\\b")),
+        flag(context.rlike(f"(?i)(?:\\b[A-Za-z0-9_]*(?:{NAMES})|(?:\\b|_)(?:key|bearer|auth))\\b")),
         flag(context.rlike("[:=]\\s{0,3}[\"']?$")),
         flag(F.concat(context, value).rlike(PLACEHOLDER)),
         flag(c["kind"].isin("provider key", "private key")))
