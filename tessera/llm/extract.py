@@ -11,8 +11,9 @@ the tags are links,
 with C characters, T tags, LC and LT of them in links, nLC = C - LC, and b the
 body's. A node's sum adds its children's densities (its own text counts as one
 child). The node of the largest sum is the content; the smallest density on its
-path to the body is the threshold, and every branch of the body at or over it
-contributes its own maximum-sum node.
+path to the body is the threshold. From the body down, every node at or over it
+marks the maximum-sum node under it and, unless that is itself, its children and its
+own text are tested in turn. All marked subtrees and texts, in page order, are the content.
 
 Defined cases: a null or empty page, or one without text, gives an empty text;
 broken markup is read as far as it goes (an unclosed element ends with its
@@ -158,7 +159,8 @@ def _order(root: Node) -> list[Node]:
     return out
 
 
-def _measure(nodes: list[Node], body: Node) -> None:
+def _measure(nodes: list[Node], body: Node) -> float:
+    """Fills in densities and sums; the body's share of link characters."""
     for node in reversed(nodes):
         link = node.tag == "a"
         node.chars += node.own
@@ -177,6 +179,7 @@ def _measure(nodes: list[Node], body: Node) -> None:
         node.sum = sum(c.density for c in node.children if not c.skip)
         if node.own:
             node.sum += _density(node.own, 1, 0, 0, share)
+    return share
 
 
 def _density(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
@@ -189,49 +192,76 @@ def _density(chars: int, tags: int, link_chars: int, link_tags: int, share: floa
     return chars / tags * max(0.0, math.log(ratio)) / math.log(base)
 
 
-def _best(top: Node) -> Node:
-    """The node of the largest sum under ``top`` (the first on ties)."""
-    return max(_order(top), key=lambda n: n.sum)
+def _bests(nodes: list[Node]) -> dict[Node, Node]:
+    """Of every node, the node of the largest sum under it (the first on ties)."""
+    best: dict[Node, Node] = {}
+    for node in reversed(nodes):
+        best[node] = node
+        for c in node.children:
+            if not c.skip and best[c].sum > best[node].sum:
+                best[node] = best[c]
+    return best
 
 
-def content_nodes(root: Node) -> list[Node]:
-    """Content subtrees in page order."""
+def content(root: Node) -> list[Node | str]:
+    """Content subtrees, and texts beside them, in page order."""
     nodes = _order(root)
-    mains = [n for n in nodes if n.tag in ("article", "main") and not any(c.tag == "article" for c in n.children)]
     body = next((n for n in nodes if n.tag == "body"), root)
-    _measure(nodes, body)
-    mains = [n for n in mains if n.chars]
+    share = _measure(nodes, body)
+    mains = [n for n in nodes if n.tag in ("article", "main") and not any(c.tag == "article" for c in n.children) and n.chars]
     if len(mains) == 1:                # the page names its article: the whole of it
         return mains
-    best = _best(body)
-    if not best.sum:
+    bests = _bests(nodes)
+    best = bests[body]
+    if not best.sum or best is body:
         return [body]
     limit, node = best.density, best
     while node is not body and node.parent is not None:
         limit = min(limit, node.density)
         node = node.parent
-    if best is body:
-        return [body]
-    return [_best(c) for c in body.children if not c.skip and c.chars and c.density >= limit - 1e-9]
+    limit -= 1e-9
+    marked, entered, todo = {best}, {body}, [body]
+    while todo:
+        for c in todo.pop().children:
+            if not c.skip and c.chars and c.density >= limit:
+                marked.add(bests[c])
+                if bests[c] is not c:
+                    entered.add(c)
+                    todo.append(c)
+    out: list[Node | str] = []
+    stack: list[tuple[Node | str, bool]] = [(body, False)]      # a part, and whether the text around it counts
+    while stack:
+        x, text = stack.pop()
+        if isinstance(x, str):
+            out.append(x if text else " ")
+        elif x in marked or text and x.tag in INLINE:
+            out.append(x)
+        elif not x.skip:
+            # its own text is one more child
+            counts = x in entered and _density(x.own, 1, 0, 0, share) >= limit
+            out.append(" ")
+            stack.append((" ", True))
+            stack.extend((p, counts) for p in reversed(x.parts))
+        else:
+            out.append(" ")
+    return out
 
 
-def _text(nodes: list[Node]) -> str:
+def _text(parts: list[Node | str]) -> str:
     out: list[str] = []
-    for top in nodes:
-        out.append(" ")
-        stack: list[Node | str] = [top]
-        while stack:
-            x = stack.pop()
-            if isinstance(x, str):
-                out.append(x)
-            elif not x.skip:
-                edge = x.tag not in INLINE
-                if edge:
-                    out.append(" ")
-                    stack.append(" ")
-                stack.extend(reversed(x.parts))
-            elif x.tag not in INLINE:
+    stack: list[Node | str] = list(reversed(parts))
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            out.append(x)
+        elif not x.skip:
+            edge = x.tag not in INLINE
+            if edge:
                 out.append(" ")
+                stack.append(" ")
+            stack.extend(reversed(x.parts))
+        elif x.tag not in INLINE:
+            out.append(" ")
     return " ".join("".join(out).split())
 
 
@@ -242,7 +272,7 @@ def main_text(html: str | None) -> str:
     b = _Builder()
     b.feed(html)
     b.close()
-    return _text(content_nodes(b.root))
+    return _text(content(b.root))
 
 
 def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
