@@ -208,9 +208,6 @@ def content(root: Node) -> list[Node | str]:
     nodes = _order(root)
     body = next((n for n in nodes if n.tag == "body"), root)
     share = _measure(nodes, body)
-    mains = [n for n in nodes if n.tag in ("article", "main") and not any(c.tag == "article" for c in n.children) and n.chars]
-    if len(mains) == 1:                # the page names its article: the whole of it
-        return mains
     bests = _bests(nodes)
     best = bests[body]
     if not best.sum or best is body:
