@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import extract, fmindex, icws, lexicon, licenses, lzdedup, quality, secrets, sharding, tokenfile
+from tessera.llm import extract, fmindex, icws, lexicon, licenses, lzdedup, quality, secrets, sharding, tokenfile, variants
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op10_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.query(documents(spark, sf_dir))
 
 
+def op11_reduced_alphabet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.query(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -68,9 +72,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_relative_lz": op8_relative_lz,
         "op9_two_pass_shuffle": sharding.query,
         "op10_secret_forest": op10_secret_forest,
+        "op11_reduced_alphabet": op11_reduced_alphabet,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_quality_rules": quality.ORACLE, "op3_fm_index": fmindex.ORACLE,
-            "op4_license_scan": licenses.ORACLE, "op8_relative_lz": lzdedup.ORACLE}
+            "op4_license_scan": licenses.ORACLE, "op8_relative_lz": lzdedup.ORACLE,
+            "op11_reduced_alphabet": variants.ORACLE}
