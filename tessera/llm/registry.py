@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import extract, fmindex, icws, lexicon, licenses, lzdedup, quality, secrets, sharding, tokenfile, variants
+from tessera.llm import (
+    extract,
+    fmindex,
+    icws,
+    lexicon,
+    licenses,
+    lzdedup,
+    quality,
+    rankbpe,
+    ranked,
+    secrets,
+    sharding,
+    tokenfile,
+    variants,
+)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +74,14 @@ def op11_reduced_alphabet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.query(documents(spark, sf_dir))
 
 
+def op12_padded_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rankbpe.digests(documents(spark, sf_dir), tokenizer_path("byte_bpe_multi_50k.tiktoken"))
+
+
+def op13_aho_corasick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -73,10 +95,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_two_pass_shuffle": sharding.query,
         "op10_secret_forest": op10_secret_forest,
         "op11_reduced_alphabet": op11_reduced_alphabet,
+        "op12_padded_matrix": op12_padded_matrix,
+        "op13_aho_corasick": op13_aho_corasick,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_quality_rules": quality.ORACLE, "op3_fm_index": fmindex.ORACLE,
             "op4_license_scan": licenses.ORACLE, "op8_relative_lz": lzdedup.ORACLE,
-            "op11_reduced_alphabet": variants.ORACLE}
+            "op11_reduced_alphabet": variants.ORACLE, "op13_aho_corasick": ranked.ORACLE}
