@@ -140,11 +140,18 @@ def fallback_response(prompt) -> Column:
     return F.when(hit, F.lit(FALLBACK_SQL_TEXT)).otherwise(F.lit(FALLBACK_ERROR_TEXT))
 
 
+# Pieces of SQL text: a comment, a quoted text, white space, anything else. A
+# doubled quote inside quotes makes two quoted pieces side by side, which join to
+# the same text again. Loops are over single characters only.
+SQL_PIECES = "(--[^\\n]*|/\\*(?s:.*?)\\*/|'[^']*'|\"[^\"]*\"|`[^`]*`|\\s+|[^\\s'\"`/-]+|(?s:.))"
+BLANK = "\x01"   # stands for white space and comments until they are collapsed
+
+
 def normalize_sql(x) -> Column:
-    """R10 (re-aimed): canonical text key for de-duplication and comparison —
-    whitespace collapsed, outer whitespace and trailing ';' removed, and text
-    lower-cased outside single-quoted literals."""
-    s = F.regexp_replace(F.regexp_replace(_c(x), r"\s+", " "), r"^\s+|[\s;]+$", "")
-    parts = F.split(s, "'")
-    return F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 0, F.lower(p)).otherwise(p)),
-                        "'")
+    """R10 (re-aimed): canonical text key for de-duplication and comparison:
+    comments dropped, white space collapsed, outer white space and trailing ';'
+    removed, and text lower-cased, all outside quotes ('', "", ``). A quote that
+    is never closed is plain text."""
+    pieces = F.transform(F.regexp_extract_all(_c(x), F.lit(SQL_PIECES), F.lit(1)), lambda p: (
+        F.when(p.rlike("^(--|/[*]|\\s)"), F.lit(BLANK)).when(p.rlike("^['\"`](?s:.)"), p).otherwise(F.lower(p))))
+    return F.regexp_replace(F.regexp_replace(F.array_join(pieces, ""), BLANK + "+", " "), "^ +|[ ;]+$", "")

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import sqlscan
 from tessera.functions import text as TX
 from tessera.operators.analytics import top1_per_group
 
@@ -189,3 +190,16 @@ def expected_match(df: DataFrame, generated: str, expected: str, group: str) ->
     return df.groupBy(group).agg(
         F.count(lit(1)).alias("n_cases"), F.count(F.when(m, 1)).alias("n_exact_match")) \
         .withColumn("exact_match_rate", F.round(col("n_exact_match") / col("n_cases"), 6))
+
+
+def expected_set_match(df: DataFrame, generated: str, expected: str, group: str) -> DataFrame:
+    """E17 beyond equal text: also the cases whose clauses are equal as sets
+    (select items, predicates, group keys, listed tables in any order)."""
+    text = TX.normalize_sql(col(generated)) == TX.normalize_sql(col(expected))
+    clauses = sqlscan.clause_key_of(col(generated)) == sqlscan.clause_key_of(col(expected))
+    judged = df.select(group, text.alias("_text"), clauses.alias("_clauses"))
+    return judged.groupBy(group).agg(
+        F.count(lit(1)).alias("n_cases"), F.count(F.when(col("_text"), 1)).alias("n_exact_match"),
+        F.count(F.when(col("_clauses"), 1)).alias("n_set_match")) \
+        .withColumn("exact_match_rate", F.round(col("n_exact_match") / col("n_cases"), 6)) \
+        .withColumn("set_match_rate", F.round(col("n_set_match") / col("n_cases"), 6))

@@ -1,6 +1,6 @@
 """Response post-processing over tables of model output (R6, R8, R9, R11,
-R12, R13 application, R14). Row-local column work except R6, which groups
-the (at most a few) attempts of one prompt."""
+R12, R14). Row-local column work except R6, which groups the (at most a few)
+attempts of one prompt."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import dialect as DL
+from tessera.functions import sqlscan
 from tessera.functions import text as TX
 
 col = F.col
@@ -19,14 +20,11 @@ TOKEN_ISSUE_ERROR = ("Model encountered a token generation issue. Please try aga
                      "model configuration.")
 SQL_REQUIRED_ERROR = "SQL query is required"
 MAX_ATTEMPTS = 3
-JOIN_KINDS = r"(?:JOIN|INNER\s+JOIN|LEFT\s+JOIN|RIGHT\s+JOIN|LEFT\s+OUTER\s+JOIN)"
-JOIN_END = r"(?=\bJOIN\b|\bWHERE\b|\bGROUP\b|\bORDER\b|\bLIMIT\b|\bHAVING\b|\)|\z)"
-JOIN_CLAUSE_RE = r"(?is)\b" + JOIN_KINDS + r"\s+(\w+)\s+(\w+)\s+ON\s+(.+?)" + JOIN_END
 # -----------------------------------------------------------------------------
 
-CREATE_TABLE_RE = r"(?i)CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?[`\"]?(\w+)"
-TABLE_REF_RE = r"(?i)\b(?:FROM|JOIN)\s+(\w+)"
-CTE_NAME_RE = r"(?i)(?:\bWITH|,)\s*(\w+)\s+AS\s*\("
+# The last part of the created table's name, quoted or not.
+CREATE_TABLE_RE = (r"(?i)CREATE\s+(?:(?:TEMP|TEMPORARY|EXTERNAL)\s+)?TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?"
+                   r"(?:[`\"]?\w+[`\"]?\s*\.\s*)*([`\"][^`\"]+[`\"]|\w+)")
 
 
 def resolve_attempts(attempts: DataFrame, prompts: DataFrame | None = None,
@@ -111,41 +109,26 @@ def batch_validate(df: DataFrame, sql: str = "sql") -> DataFrame:
 
 def declared_tables(ddl) -> F.Column:
     """D2 as an array: lower-cased table names created by a DDL text."""
-    return F.transform(F.regexp_extract_all(ddl, F.lit(CREATE_TABLE_RE), 1), lambda t: F.lower(t))
+    return F.transform(F.regexp_extract_all(ddl, F.lit(CREATE_TABLE_RE), 1), lambda t: F.lower(F.btrim(t, lit("`\""))))
 
 
 def schema_grounding(df: DataFrame, sql: str, ddl: str, key: str = "sample_id") -> DataFrame:
-    """(key, table) for every table referenced after FROM / JOIN that
-    the sample's own DDL does not declare. CTE names count as declared.
-    Row-local array work, then one explode: no join, no shuffle."""
-    s = col(sql)
-    refs = F.transform(F.regexp_extract_all(s, F.lit(TABLE_REF_RE), 1), lambda t: F.lower(t))
-    ctes = F.transform(F.regexp_extract_all(s, F.lit(CTE_NAME_RE), 1), lambda t: F.lower(t))
-    known = F.array_union(declared_tables(col(ddl)), ctes)
-    unknown = F.array_except(refs, known)
-    return (df.select(key, F.explode(unknown).alias("table_name")))
+    """(key, table) for every table a query refers to that the sample's
+    own DDL does not declare. Names are resolved in their scope: a CTE provides
+    its name to the query it belongs to (and to later CTEs) only, comma lists,
+    quoted and qualified names and every kind of JOIN count, ``FROM`` inside a
+    call or after ``IS DISTINCT`` does not. One pass per text, then one explode:
+    no join, no shuffle."""
+    unknown = F.array_except(sqlscan.references_of(col(sql)), F.coalesce(declared_tables(col(ddl)), F.array().cast("array<string>")))
+    return df.select(key, F.explode(unknown).alias("table_name"))
 
 
 def drop_ungrounded_joins(df: DataFrame, sql: str, ddl: str, out: str = "grounded_sql") -> DataFrame:
-    """Remove ``JOIN t alias ON ...`` clauses whose table the DDL does
-    not declare, then turn ``alias.col`` into ``col`` for those aliases.
-    Needs a bare alias (as the reference does). The removal pattern is built
-    per row from that row's unknown tables; rows without any keep their SQL
-    untouched (the common case pays one regexp_extract_all)."""
-    s = col(sql)
-    tabs = F.regexp_extract_all(s, F.lit(JOIN_CLAUSE_RE), 1)
-    als = F.regexp_extract_all(s, F.lit(JOIN_CLAUSE_RE), 2)
-    known = declared_tables(col(ddl))
-    pairs = F.filter(F.arrays_zip(tabs.alias("t"), als.alias("a")),
-                     lambda p: ~F.array_contains(known, F.lower(p["t"])))
-    bad_t = F.transform(pairs, lambda p: p["t"])
-    bad_a = F.transform(pairs, lambda p: p["a"])
-    clause = F.concat(lit(r"(?is)\s*\b" + JOIN_KINDS + r"\s+(?:"), F.array_join(bad_t, "|"),
-                      lit(r")\s+\w+\s+ON\s+.+?" + JOIN_END))
-    removed = F.regexp_replace(s, clause, lit(" "))
-    alias_ref = F.concat(lit(r"\b(?:"), F.array_join(bad_a, "|"), lit(r")\.(\w+)"))
-    fixed = F.regexp_replace(removed, alias_ref, lit("$1"))
-    return df.withColumn(out, F.when(F.size(pairs) > 0, fixed).otherwise(s))
+    """Remove the JOIN clauses, of any kind, to tables that the DDL does
+    not declare and no CTE in scope provides, and unqualify the columns of the
+    removed tables inside that query. A first table of FROM is no join: R11
+    reports it and it stays."""
+    return df.withColumn(out, sqlscan.drop_joins_of(col(sql), declared_tables(col(ddl))))
 
 
 def dialect_usage(df: DataFrame, sql: str = "sql") -> DataFrame:

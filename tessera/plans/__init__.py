@@ -34,7 +34,7 @@ def _load_all() -> None:
     # Import for side effects (registration). Order fixes the listing order.
     from tessera.plans import (  # noqa: F401
         track_b, dates, corpus, profile, ddl, datagen, responses, evaluate,
-        sinks, stream,
+        sqlcases, sinks, stream,
     )
 
 

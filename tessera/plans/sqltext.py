@@ -85,6 +85,6 @@ def fallback_response(p: str) -> str:
 
 
 def normalize_sql(x: str) -> str:
-    s = f"regexp_replace(regexp_replace({x}, '\\s+', ' ', 'g'), '^\\s+|[\\s;]+$', '', 'g')"
-    return (f"array_to_string(list_transform(string_split({s}, ''''), "
-            f"lambda p, i: CASE WHEN (i - 1) % 2 = 0 THEN lower(p) ELSE p END), '''')")
+    pieces = (f"list_transform(regexp_extract_all({x}, {q(TX.SQL_PIECES)}, 1), lambda p: CASE "
+              f"WHEN regexp_matches(p, '^(--|/[*]|\\s)') THEN chr(1) WHEN regexp_matches(p, '^[''\"`](?s:.)') THEN p ELSE lower(p) END)")
+    return f"regexp_replace(regexp_replace(array_to_string({pieces}, ''), chr(1) || '+', ' ', 'g'), '^ +|[ ;]+$', '', 'g')"
