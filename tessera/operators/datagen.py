@@ -13,10 +13,12 @@ The rule table is data, rendered both as a Spark Column and as DuckDB SQL
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import AS_OF
+from tessera.session import AS_OF, ensure_checkpoint_dir
 
 col = F.col
 lit = F.lit
@@ -286,31 +288,56 @@ def generate_rows(columns: DataFrame, n_rows: int = WEB_ROWS, key: str = "sample
                         "rule", value.c.alias("value"))
 
 
+def skipped_rows(cells: DataFrame, key: str = "sample_id") -> DataFrame:
+    """(key, table_name, row_i) of the rows that in-order insertion skips: a row
+    is skipped if an inserted earlier row of its table has one of its values in
+    the same unique column; skipped rows take no values, NULLs never collide.
+
+    Decided in rounds for all tables at once. Among the undecided rows, values
+    that only one of them holds cannot collide and drop out; a row that is the
+    earliest holder of each of its remaining values is inserted, and the later
+    holders of these values are skipped. So each round decides the earliest row
+    of every table and, of independent values, most rows; the number of rounds is
+    that of the longest chain of rows that wait for each other. Every round works
+    by hash aggregation and joins on a value, and is written to the shared folder
+    (lineage stays short); no table is ever gathered in a task."""
+    spark = cells.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark)}/unique-{uuid.uuid4().hex}"
+    row, value = [key, "table_name", "row_i"], [key, "table_name", "col_pos", "value"]
+    open_cells = cells.filter(col("is_unique") & col("value").isNotNull()).select(*row, "col_pos", "value")
+    schema, n = open_cells.schema, 0
+    while True:
+        holders = open_cells.groupBy(*value).agg(F.min("row_i").alias("_first"), F.count(lit(1)).alias("_n"))
+        open_cells.join(holders.filter("_n > 1").drop("_n"), value) \
+            .withColumn("_earliest", col("row_i") == col("_first")).drop("_first").write.parquet(f"{folder}/open/{n}")
+        judged = spark.read.parquet(f"{folder}/open/{n}")
+        if not judged.limit(1).count():
+            break
+        inserted = judged.groupBy(*row).agg(F.min("_earliest").alias("_in"))
+        judged = judged.join(inserted, row)
+        taken = judged.filter("_in").select(*value, lit(True).alias("_taken"))     # a value has one earliest holder
+        waiting = judged.filter("NOT _in").select(*schema.names).join(taken, value, "left")
+        waiting.withColumn("_skip", F.coalesce("_taken", lit(False))).drop("_taken").write.parquet(f"{folder}/waiting/round={n}")
+        waiting = spark.read.parquet(f"{folder}/waiting/round={n}")
+        skipped = waiting.filter("_skip").select(*row).distinct()
+        open_cells = waiting.drop("_skip").join(skipped, row, "left_anti")
+        n += 1
+    if not n:
+        return spark.createDataFrame([], open_cells.select(*row).schema)
+    return spark.read.parquet(f"{folder}/waiting").filter("_skip").select(*row).distinct()
+
+
 def unique_insert(cells: DataFrame, key: str = "sample_id") -> DataFrame:
     """Rows surviving UNIQUE / PRIMARY KEY constraints, per table, when rows
-    are inserted in order: a row that repeats a value of an inserted row in a
-    unique column is skipped, and a skipped row takes no values.
-
-    With one unique column the survivors are its distinct values. With several,
-    insertion is sequential by definition: the table's unique cells (n_rows
-    times its unique columns, as requested by the caller) are folded in row
-    order inside one row."""
-    per_table = (cells.filter(col("col_pos") == 1).groupBy(key, "table_name")
-                 .agg(F.count(lit(1)).alias("n_rows")))
-    by_col = (cells.filter("is_unique").groupBy(key, "table_name", "col_pos")
-              .agg(F.countDistinct("value").alias("_v"), F.count(F.when(col("value").isNull(), 1)).alias("_null"))
-              .groupBy(key, "table_name").agg(F.count(lit(1)).alias("_cols"), F.max(col("_v") + col("_null")).alias("_kept")))
-    several = cells.filter("is_unique").join(by_col.filter("_cols > 1").select(key, "table_name"), [key, "table_name"], "left_semi")
-    rows = several.groupBy(key, "table_name", "row_i").agg(
-        F.collect_list(F.concat_ws(":", "col_pos", "value")).alias("_keys"))
-
-    def insert(a: Column, r: Column) -> Column:
-        fits = ~F.arrays_overlap(a["taken"], r["_keys"])
-        return F.struct(F.when(fits, F.concat(a["taken"], r["_keys"])).otherwise(a["taken"]).alias("taken"),
-                        (a["n"] + F.when(fits, lit(1)).otherwise(lit(0))).alias("n"))
-
-    start = F.struct(F.array().cast("array<string>").alias("taken"), lit(0).cast("int").alias("n"))
-    folded = rows.groupBy(key, "table_name").agg(F.array_sort(F.collect_list(F.struct("row_i", "_keys"))).alias("_rows")) \
-        .select(key, "table_name", F.aggregate("_rows", start, insert, lambda a: a["n"].cast("bigint")).alias("_in_order"))
-    return (per_table.join(by_col, [key, "table_name"], "left").join(folded, [key, "table_name"], "left")
-            .select(key, "table_name", F.coalesce("_in_order", "_kept", "n_rows").alias("rows_inserted")))
+    are inserted in order. With one unique column the survivors are its distinct
+    values and its NULLs; tables with several are decided by ``skipped_rows``."""
+    table = [key, "table_name"]
+    per_table = cells.filter(col("col_pos") == 1).groupBy(*table).agg(F.count(lit(1)).alias("n_rows"))
+    by_col = (cells.filter("is_unique").groupBy(*table, "col_pos")
+              .agg((F.countDistinct("value") + F.count(F.when(col("value").isNull(), 1))).alias("_kept"))
+              .groupBy(*table).agg(F.count(lit(1)).alias("_cols"), F.max("_kept").alias("_kept")))
+    several = cells.join(by_col.filter("_cols > 1").select(*table), table, "left_semi")
+    skipped = skipped_rows(several, key).groupBy(*table).agg(F.count(lit(1)).alias("_skipped"))
+    out = per_table.join(by_col, table, "left").join(skipped, table, "left")
+    in_order = F.when(col("_cols") > 1, col("n_rows") - F.coalesce("_skipped", lit(0)))
+    return out.select(*table, F.coalesce(in_order, "_kept", "n_rows").alias("rows_inserted"))
