@@ -117,8 +117,3 @@ def above_mean(df: DataFrame, value: str) -> DataFrame:
     as an uncorrelated scalar subquery (evaluated once, then a filter)."""
     mean = df.select(F.avg(value)).scalar()
     return df.filter(F.col(value) > mean)
-
-
-def page(df: DataFrame, order: Sequence[Column], offset: int, limit: int) -> DataFrame:
-    """``LIMIT offset, limit`` (MySQL) == ``LIMIT limit OFFSET offset``."""
-    return df.orderBy(*order).offset(offset).limit(limit)

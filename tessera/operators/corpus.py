@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import word_count
+from tessera.operators.paging import HEAP_ROWS, page
 from tessera.session import ensure_checkpoint_dir
 
 col = F.col
@@ -53,14 +54,15 @@ def _output_text() -> Column:
     return F.concat(lit("```sql\n"), _txt("sql"), lit("\n```\n\nExplanation: "), _txt("sql_explanation"))
 
 
-def limit_samples(df: DataFrame, n: int | None, key: str = "sample_id") -> DataFrame:
+def limit_samples(df: DataFrame, n: int | None, key: str = "sample_id", heap_rows: int = HEAP_ROWS) -> DataFrame:
     """The first ``n`` samples in dataset order (``key``); a falsy ``n``
-    (None / 0) keeps all. Planned as TakeOrdered (per-partition top-n, no
-    global sort). The reference raises when n exceeds the size; here the
-    whole input is returned instead (checking would cost a count pass)."""
+    (None / 0) keeps all. Few are TakeOrdered (per-partition top-n, no global
+    sort); more than ``heap_rows`` are found by rank (``paging``), so no task
+    merges them. The reference raises when n exceeds the size; here the whole
+    input is returned instead (checking would cost a count pass)."""
     if not n:
         return df
-    return df.orderBy(key).limit(int(n))
+    return page(df, [(key, True)], 0, int(n), heap_rows)
 
 
 def format_samples(df: DataFrame) -> DataFrame:

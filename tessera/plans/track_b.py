@@ -8,6 +8,7 @@ import datetime as _dt
 from pyspark.sql import functions as F
 
 from tessera.operators import analytics as A
+from tessera.operators.paging import page
 from tessera.plans import register
 from tessera.plans.params import (D7, D30, DAY_AFTER, M3, M6, M12, M24,
                                   NEXT_YEAR_START, YEAR_START, month_start,
@@ -90,8 +91,17 @@ def top_n_agg(spark, d):
 @register("limit_offset", """
 SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 5 OFFSET 10""")
 def limit_offset(spark, d):
-    return A.page(T(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"),
-                  [col("o_orderkey")], 10, 5)
+    return page(T(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), [("o_orderkey", True)], 10, 5)
+
+
+# The middle third by date, newest first, as a page that no task merges.
+@register("deep_page", """
+SELECT o_orderkey, o_orderdate, o_totalprice FROM orders ORDER BY o_orderdate DESC, o_orderkey
+LIMIT (SELECT count(*) // 3 FROM orders) OFFSET (SELECT count(*) // 3 FROM orders)""")
+def deep_page(spark, d):
+    o = T(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    third = o.count() // 3
+    return page(o, [("o_orderdate", False), ("o_orderkey", True)], third, third, heap_rows=0)
 
 
 @register("null_test", f"""
