@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as TX
 from tessera.operators import evaluate as EV
+from tessera.operators import quantiles as Q
 from tessera.plans import register
 from tessera.plans import fixtures as FX
 from tessera.plans import sqltext as S
@@ -175,6 +176,28 @@ def latency_by_complexity(spark, d):
     return EV.latency_by_group(FX.latency(spark, d), "complexity")
 
 
+_EXACT = """SELECT complexity, p, n, v AS value FROM (
+ SELECT complexity, count(response_time) AS n, unnest([500, 950, 990]) AS p,
+        unnest([quantile_disc(response_time, 0.5), quantile_disc(response_time, 0.95), quantile_disc(response_time, 0.99)]) AS v
+ FROM latency GROUP BY complexity)"""
+
+
+# The times as a distribution; p in thousandths
+@register("latency_quantiles", FX.with_views("latency") + _EXACT)
+def latency_quantiles(spark, d):
+    return Q.exact(FX.latency(spark, d), ["complexity"], "response_time")
+
+
+@register("latency_quantiles_sketch", FX.with_views("latency") + f"SELECT complexity, p, n, true AS within_error FROM ({_EXACT})")
+def latency_quantiles_sketch(spark, d):
+    # the sketches of two halves merged, held against the exact quantiles
+    t = FX.latency(spark, d)
+    halves = [Q.sketch(t.filter(F.col("event_id") % 2 == k), ["complexity"], "response_time") for k in (0, 1)]
+    read = Q.from_sketch(Q.merge(*halves, ["complexity"]), ["complexity"]).withColumnRenamed("value", "estimate")
+    both = read.join(Q.exact(t, ["complexity"], "response_time").select("complexity", "p", "value"), ["complexity", "p"])
+    return both.select("complexity", "p", "n", (F.abs(col("estimate") - col("value")) <= Q.ERROR * F.abs("value")).alias("within_error"))
+
+
 @register("compare_models", EV_STATUS + """
 SELECT complexity, a AS model_a, b AS model_b, round(b - a, 6) AS delta FROM (
  SELECT complexity,
