@@ -163,7 +163,7 @@ def responses(spark: SparkSession, d: str) -> DataFrame:
     return responses_from(samples(spark, d))
 
 
-def responses_from(s: DataFrame) -> DataFrame:
+def responses_from(s: DataFrame, *also: str) -> DataFrame:
     sql = col("sql")
     v = col("sample_id") % 8
     resp = (F.when(v == 0, F.concat(F.lit("```sql" + NL), sql, F.lit(NL + "```" + NL + NL + "Explanation: ok")))
@@ -175,18 +175,23 @@ def responses_from(s: DataFrame) -> DataFrame:
             .when(v == 6, F.concat(F.lit("{ end }<|end|>"), sql))
             .otherwise(F.lit("```sql" + NL + UNGROUNDED_SQL + NL + "```")))
     return s.select("sample_id", "domain", "sql_complexity", "sql_context",
-                    sql.alias("expected_sql"), resp.alias("response"))
+                    sql.alias("expected_sql"), resp.alias("response"), *also)
 
 
 def attempts(spark: SparkSession, d: str) -> DataFrame:
-    r = responses(spark, d).select("sample_id", "response")
+    return attempts_from(responses(spark, d))
+
+
+def attempts_from(r: DataFrame, *also: str) -> DataFrame:
+    """Three attempts per response (batch or stream)."""
+    r = r.select("sample_id", "response", *also)
     r = r.withColumn("attempt", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
     a = col("sample_id") + col("attempt")
     resp = (F.when(a % 4 == 0, F.lit(""))
             .when(a % 7 == 0, F.lit("<|im_end|>" * 6))
             .otherwise(col("response")))
     return r.select(col("sample_id").alias("prompt_id"), col("attempt").cast("int").alias("attempt"),
-                    resp.alias("response"))
+                    resp.alias("response"), *also)
 
 
 def eval_results(spark: SparkSession, d: str) -> DataFrame:
