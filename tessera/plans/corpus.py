@@ -46,6 +46,14 @@ def limit_samples(spark, d):
     return C.limit_samples(FX.samples(spark, d), 100)
 
 
+@register("limit_samples_large", FX.with_views("samples") + """
+SELECT sample_id, domain, sql_complexity, sql FROM samples ORDER BY sample_id LIMIT (SELECT count(*) // 2 FROM samples)""")
+def limit_samples_large(spark, d):
+    # half of the corpus: cut by rank, merged in no task
+    s = FX.samples(spark, d).select("sample_id", "domain", "sql_complexity", "sql")
+    return C.limit_samples(s, s.count() // 2, heap_rows=0)
+
+
 @register("format_samples", FX.with_views("samples") + FORMAT_SQL)
 def format_samples(spark, d):
     return C.format_samples(FX.samples(spark, d))
@@ -208,3 +216,36 @@ def load_custom_samples(spark, d):
     path = scratch_path(spark, "custom_samples")
     FX.samples(spark, d).select("sample_id", "sql_context", "sql_prompt", "sql").write.json(path)
     return C.format_samples(load(spark, path, fmt="json"))
+
+
+# Ten kinds of damage, one sample in eleven whole (doc_id % 11): what becomes of each line.
+_DAMAGE = [
+    ("sample", 0), ("sample", 1), ("not json", 0), ("not json", 0), ("blank line", 0), ("not an object", 0),
+    ("wrong type: sql", 0), ("wrong type: sample_id, sql_context", 0), ("not utf-8", 0), ("not json", 0), ("sample", 0),
+]
+
+
+@register("load_quarantine", "WITH " + FX.values_sql("damage", "k, reason, rescued", [(k, *r) for k, r in enumerate(_DAMAGE)]) + """
+SELECT reason, count(*) AS n, sum(rescued)::BIGINT AS n_rescued FROM documents JOIN damage ON doc_id % 11 = k GROUP BY reason""")
+def load_quarantine(spark, d):
+    # A JSON-lines corpus with damaged lines, each accounted for
+    from tessera.sources import quarantine as Q
+    from tessera.sources.sinks import scratch_path
+
+    s = FX.samples(spark, d)
+    whole = F.to_json(F.struct("sample_id", "sql_prompt", "sql", "domain"))
+    sql = F.to_json(F.struct("sql"))
+    lines = [whole, F.to_json(F.struct("sample_id", "sql", F.lit("mysql").alias("dialect"))), F.expr("left(w, length(w) - 1)"),
+             F.concat("w", F.lit(" "), "w"), F.lit("  "), F.concat(F.lit("["), "w", F.lit("]")),
+             F.to_json(F.struct("sample_id", F.col("sample_id").alias("sql"))),
+             F.to_json(F.struct(F.col("domain").alias("sample_id"), F.array("sql").alias("sql_context"))),
+             F.concat(F.lit("{\"sql\": \"\ufffd\"} "), F.lit("")), F.concat(F.lit("{"), F.expr("substring(q, 2, length(q) - 2)"), F.lit(","),
+                                                                           F.expr("substring(q, 2, length(q) - 2)"), F.lit("}")),
+             F.lit("{}")]
+    line = None
+    for k, x in enumerate(lines):
+        hit = F.col("sample_id") % 11 == k
+        line = F.when(hit, x) if line is None else line.when(hit, x)
+    path = scratch_path(spark, "damaged")
+    s.withColumn("w", whole).withColumn("q", sql).select(line.alias("value")).write.text(path)
+    return Q.account(Q.load_lines(spark, path))

@@ -11,6 +11,7 @@ from tessera.plans import register
 from tessera.plans import fixtures as FX
 from tessera.plans.corpus import CX, FORMAT_SQL, SPLIT_CTE
 from tessera.plans.evaluate import STATUS_SQL
+from tessera.sources import published as PB
 from tessera.sources import sinks as SK
 
 col = F.col
@@ -26,6 +27,18 @@ def write_jsonl(spark, d):
     return spark.read.schema(split.schema).json(out)
 
 
+@register("write_published", SPLIT_CTE + f"""SELECT instruction, input, output, domain, f.complexity, split
+FROM ({FORMAT_SQL}) f JOIN split USING (sample_id)""")
+def write_published(spark, d):
+    # the same data through a staged commit; read back through its manifest, verified
+    f = C.format_samples(FX.samples(spark, d))
+    split = C.quota_split(f, "sample_id", "complexity") \
+        .select("instruction", "input", "output", "domain", "complexity", "split")
+    out = SK.scratch_path(spark, "published_data")
+    PB.write(split, out, "json", ("split",))
+    return PB.read(spark, out, verify=True)
+
+
 def _flat(records):
     """One plain row per record read back."""
     return records.select(
