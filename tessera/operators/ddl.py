@@ -1,8 +1,8 @@
 """Schema (DDL) text processing (D1-D5) with row-local array functions.
 
-A sample's DDL is parsed inside its own row (split, regexp, higher-order
-functions); only the final explode produces one row per statement / table /
-column. No shuffle is needed until a caller groups.
+A DDL text is parsed inside one row (split, regexp, higher-order functions), and
+each distinct text once where texts repeat (``per_distinct_text``); the final
+explode produces one row per statement / table / column.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.nesting import split_top_level
 from tessera.functions.text import strip
+from tessera.operators.once import per_distinct_text
 
 col = F.col
 lit = F.lit
@@ -62,19 +63,24 @@ def schema_tables(ddl: Column) -> Column:
                                                    _column_entries(s).alias("columns")))
 
 
+def _parsed(df: DataFrame, ddl: str, key: str, make) -> DataFrame:
+    """(key, _p): the parse of each DDL text, made once per distinct text."""
+    return per_distinct_text(df.select(key, col(ddl).alias("_ddl")), "_ddl", make, "_p").select(key, "_p")
+
+
 def split_statements(df: DataFrame, ddl: str, key: str = "sample_id") -> DataFrame:
     """One row per statement with its 0-based position."""
-    return df.select(key, F.posexplode(statements(col(ddl))).alias("stmt_pos", "statement"))
+    return _parsed(df, ddl, key, statements).select(key, F.posexplode("_p").alias("stmt_pos", "statement"))
 
 
 def extract_tables(df: DataFrame, ddl: str, key: str = "sample_id") -> DataFrame:
     """One row per CREATE TABLE (IF NOT EXISTS accepted)."""
-    return df.select(key, F.explode(schema_tables(col(ddl))).alias("t")).select(key, col("t.table_name"))
+    return _parsed(df, ddl, key, schema_tables).select(key, F.explode("_p").alias("t")).select(key, col("t.table_name"))
 
 
 def extract_columns(df: DataFrame, ddl: str, key: str = "sample_id") -> DataFrame:
     """D3: one row per declared column (key, table, position, name, type)."""
-    t = df.select(key, F.explode(schema_tables(col(ddl))).alias("t"))
+    t = _parsed(df, ddl, key, schema_tables).select(key, F.explode("_p").alias("t"))
     return t.select(key, col("t.table_name").alias("table_name"), F.inline(col("t.columns")))
 
 
@@ -85,7 +91,7 @@ def schema_type_histogram(columns: DataFrame) -> DataFrame:
 
 def schema_width(df: DataFrame, ddl: str, key: str = "sample_id") -> DataFrame:
     """Tables and columns per sample, computed inside each row."""
-    staged = df.select(key, schema_tables(col(ddl)).alias("_t"))  # parsed once per row
-    t = col("_t")
-    return staged.select(key, F.size(F.array_distinct(F.transform(t, lambda x: F.lower(x["table_name"])))).alias("n_tables"),
-                         F.size(F.flatten(F.transform(t, lambda x: x["columns"]))).alias("n_columns"))
+    t = col("_p")
+    return _parsed(df, ddl, key, schema_tables).select(
+        key, F.size(F.array_distinct(F.transform(t, lambda x: F.lower(x["table_name"])))).alias("n_tables"),
+        F.size(F.flatten(F.transform(t, lambda x: x["columns"]))).alias("n_columns"))
