@@ -68,7 +68,9 @@ def test_near_dedup_matches_brute_force(spark):
     assert {r["n_links"] for r in got} != {0}
 
 
-def test_near_dedup_of_buckets_that_need_many_rounds(spark, monkeypatch):
+@pytest.mark.parametrize("most_leaders", [4, 512])
+def test_near_dedup_of_buckets_that_need_many_rounds(spark, monkeypatch, most_leaders):
+    monkeypatch.setattr(icws, "MOST_LEADERS", most_leaders)
     rng = random.Random(8)
     real = icws.band_keys
 
@@ -97,6 +99,32 @@ def test_near_dedup_of_buckets_that_need_many_rounds(spark, monkeypatch):
     same([(r["doc_id"], r["class_id"]) for r in icws.classes(docs).collect()], [(i, find(i)) for i, _ in rows])
 
 
+def test_the_bound_is_never_below_the_similarity(spark):
+    rng = random.Random(12)
+    idf = np.random.default_rng(1).choice([1.0, 1.1, 1.25], icws.BUCKETS).astype(np.float32)
+    base = prose(rng, 200, 4000).split(" ")
+    texts = []
+    for k in range(60):
+        w = list(base)
+        for _ in range(k):
+            w[rng.randrange(len(w))] = f"n{rng.randrange(50)}"
+        texts.append(" ".join(w[:rng.randint(120, 200)]))
+    data, offs = next(tc.utf8_slices(pa.array(texts, pa.string())))[2:]
+    _, _, weight = icws.band_keys(data, offs, idf)
+    sums = icws.part_sums(data, offs, idf)
+    nodes = [f"{k:03d}" for k in range(len(texts))]
+    table = pa.table({"node": nodes, "weight": weight, "sums": pa.array(sums.tolist(), pa.list_(pa.float32()))})
+    got = set(zip(*icws._allowed(table).to_pydict().values()))
+    near = {(nodes[j], nodes[i]) for i, j in itertools.combinations(range(len(texts)), 2)
+            if weighted(texts[i], texts[j], idf) >= icws.THRESHOLD}
+    assert near and near <= got and len(got) < len(texts) * (len(texts) - 1) / 2
+    df = spark.createDataFrame([(f"{i}", f"{j}", float(weight[i]), float(weight[j]), sums[i].tolist(), sums[j].tolist())
+                                for i, j in itertools.combinations(range(12), 2)],
+                               "i string, j string, weight double, led double, sums array<float>, led_sums array<float>")
+    for r in df.withColumn("most", icws._most("weight", "sums", "led", "led_sums")).collect():
+        assert r.most >= weighted(texts[int(r.i)], texts[int(r.j)], idf)
+
+
 def test_near_dedup_keeps_one_of_each_class(spark):
     rows = near_rows()
     docs = table(spark, rows)
