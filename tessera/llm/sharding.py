@@ -33,6 +33,7 @@ from tessera.session import ensure_checkpoint_dir
 N_SHARDS = 16
 SEED = 20240229
 BUCKET_BYTES = 16 << 20
+BROADCAST_BUCKETS = 100_000    # of (bucket, offset), 16 bytes each, that are broadcast
 
 
 def shard_of(key: str, n_shards: int, seed: int = SEED):
@@ -44,9 +45,11 @@ def shard_of(key: str, n_shards: int, seed: int = SEED):
 
 def write_shards(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text",
                  n_shards: int = N_SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES,
-                 path: str | None = None) -> str:
+                 path: str | None = None, broadcast_buckets: int = BROADCAST_BUCKETS) -> str:
     """Write every row of ``docs`` to ``path`` (Parquet, partitioned by shard,
-    rows in slot order inside each bucket file) and return the path."""
+    rows in slot order inside each bucket file) and return the path. Rows learn
+    their bucket's offset before the scatter, so that nothing comes between the
+    shuffle of a bucket and its file at any number of buckets."""
     ship(spark)
     path = path or f"{ensure_checkpoint_dir(spark)}/shards-{uuid.uuid4().hex}"
     own = ["size", "shard", "bucket", "slot", "grown_shard"]
@@ -62,6 +65,7 @@ def write_shards(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text
     offsets = counts.select("bucket", (F.sum("count").over(
         W.partitionBy(F.floor(F.col("bucket") / per_shard)).orderBy("bucket")) - F.col("count")).alias("offset"))
     n_buckets = n_shards * per_shard
+    rows = rows.join(F.broadcast(offsets) if n_buckets <= broadcast_buckets else offsets, "bucket")
     # one bucket per partition: the buckets are dealt by their number, not by its hash
     scattered = rows.repartitionByRange(n_buckets, "bucket").sortWithinPartitions("bucket", key, text)
     names = scattered.columns
@@ -90,8 +94,7 @@ def write_shards(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text
         yield from flush()
 
     shuffled = scattered.mapInArrow(shuffle, scattered.withColumn("at", F.lit(0).cast("bigint")).schema)
-    placed = shuffled.join(F.broadcast(offsets), "bucket") if n_buckets <= 100_000 else shuffled.join(offsets, "bucket")
-    placed.withColumn("slot", F.col("offset") + F.col("at")).drop("offset", "at", "bucket") \
+    shuffled.withColumn("slot", F.col("offset") + F.col("at")).drop("offset", "at", "bucket") \
         .write.partitionBy("shard").parquet(path)
     return path
 

@@ -82,6 +82,23 @@ def test_shards_hold_the_key_law(spark):
     assert order != sorted(order)
 
 
+def test_files_are_in_slot_order_on_both_sides_of_the_broadcast_bound(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    docs = table(spark, [(i, f"text {i}" * (1 + i % 9)) for i in range(600)])
+    found = []
+    for bound in (0, 100_000):
+        path = sharding.write_shards(spark, docs, bucket_bytes=1 << 10, broadcast_buckets=bound)
+        files = [pq.read_table(f).column("slot").to_pylist() for f in glob.glob(f"{path}/shard=*/*.parquet")]
+        assert len(files) > sharding.N_SHARDS
+        for slots in files:
+            assert slots == list(range(slots[0], slots[0] + len(slots)))
+        found.append(sorted((r["doc_id"], r["shard"], r["slot"]) for r in sharding.read_shards(spark, path, docs).collect()))
+    assert found[0] == found[1]
+
+
 def test_shards_of_nothing(spark):
     docs = table(spark, [(1, "x")]).limit(0)
     back = sharding.read_shards(spark, sharding.write_shards(spark, docs), docs)
