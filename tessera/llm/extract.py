@@ -2,9 +2,12 @@
 
 A page's elements form a tree. Elements that are no article by their tag, role
 or class (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles, reader comments) are cut off. Every other node gets the composite text
-density of its text: characters per tag, adjusted by how much of the text and of
-the tags are links,
+styles, reader comments) or that are hidden are cut off. Class words that page
+wrappers carry as well (``has-sidebar`` on the column of the article, a form around
+the whole page) say nothing on a page where the elements they would cut hold most of
+the text in paragraphs: there they cut nothing. Every other node gets the composite
+text density of its text: characters per tag, adjusted by how much of the text and
+of the tags are links,
 
     C / T * log(C / LC * T / LT) / log(max(e, ln(C / nLC * LC + LCb / Cb * C + e))),
 
@@ -14,6 +17,8 @@ child). The node of the largest sum is the content; the smallest density on its
 path to the body is the threshold. From the body down, every node at or over it
 marks the maximum-sum node under it and, unless that is itself, its children and its
 own text are tested in turn. All marked subtrees and texts, in page order, are the content.
+Blocks beside them that are short rather than full of links belong to it too: those between
+two marked ones, headings right before the first and paragraphs right after the last.
 
 Defined cases: a null or empty page, or one without text, gives an empty text;
 broken markup is read as far as it goes (an unclosed element ends with its
@@ -41,15 +46,23 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
                    "ruby s samp small span strike strong sub sup time tt u var wbr".split())
 # Formatting is no structure: these make no node (unless cut off), so bold text is no denser than plain.
 FORMATTING = INLINE - {"a"}
-SKIPPED_TAGS = frozenset("head script style noscript template title nav header footer aside form button select "
-                         "textarea input option iframe object svg canvas audio video menu dialog".split())
+SKIPPED_TAGS = frozenset("head script style noscript template title nav header footer aside button select "
+                         "textarea input option label legend iframe object svg canvas audio video menu dialog".split())
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert form".split())
-# Words of a class or id that mark what is not the article.
+# Words of a class or id that mark what is not the article, wherever they stand ...
 SKIPPED_WORDS = frozenset(
-    "ad ads adbox advert adverts advertisement advertising sponsor sponsored promo promotion sidebar menu nav navbar "
-    "navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice banner popup modal newsletter subscribe "
-    "comment comments reply replies respond disqus share sharing social related recommended footer header masthead "
-    "toolbar widget pagination pager login signup".split())
+    "ad ads adbox advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr popup modal "
+    "comment comments reply replies respond disqus".split())
+# ... and those that page wrappers carry as well.
+LAYOUT_WORDS = frozenset(
+    "promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs notice banner newsletter subscribe "
+    "share sharing social related recommended footer header masthead toolbar widget pagination pager login "
+    "signup".split())
+# Names that say what a page has around it, not what the element is.
+STATE = re.compile(r"(?:has|with|without|no|hide|show|is)[-_].*|.*[-_](?:open|closed|enabled|disabled)")
+HIDDEN_STYLE = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+WRAPPER_BLOCKS, WRAPPER_SHARE = 3, 4      # paragraphs in wrappers; their text against all other text
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 KEPT_TAGS = frozenset(("html", "body", "main", "article"))       # never cut off for a class
 CLOSES = {                                                        # a start tag ends these open ones
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
@@ -63,10 +76,11 @@ _WORD = re.compile(r"[a-z0-9]+")
 
 class Node:
     __slots__ = ("children", "chars", "density", "link_chars", "link_tags", "own", "parent", "parts",
-                 "skip", "sum", "tag", "tags")
+                 "skip", "sum", "sure", "tag", "tags", "word")
 
     def __init__(self, tag: str, parent: Node | None, skip: bool):
         self.tag, self.parent, self.skip = tag, parent, skip
+        self.sure, self.word = False, None     # cut for certain; the layout word that cuts
         self.parts: list[Node | str] = []      # children and texts in page order
         self.children: list[Node] = []
         self.own = 0                           # characters of texts directly inside
@@ -74,25 +88,37 @@ class Node:
         self.density = self.sum = 0.0
 
 
-def _skipped(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+def _skipped(tag: str, attrs: list[tuple[str, str | None]]) -> bool | str:
+    """Whether an element is cut off; the layout word, if only that cuts it."""
     if tag in SKIPPED_TAGS:
         return True
-    if tag in KEPT_TAGS:
+    if tag in ("html", "body"):
         return False
+    word: bool | str = "form" if tag == "form" else False
     for name, value in attrs:
-        if not value:
-            continue
-        if name == "hidden" or name == "role" and value.lower() in SKIPPED_ROLES:
+        value = (value or "").lower()
+        if name == "hidden" and value != "until-found" or name == "style" and HIDDEN_STYLE.search(value):
             return True
-        if name in ("class", "id") and not SKIPPED_WORDS.isdisjoint(_WORD.findall(value.lower())):
+        if tag in KEPT_TAGS:
+            continue
+        if name == "role" and value in SKIPPED_ROLES and (value != "form" or tag != "form"):
             return True
-    return False
+        if name in ("class", "id"):
+            words = {w for x in value.split() if not STATE.fullmatch(x) for w in _WORD.findall(x)}
+            if not SKIPPED_WORDS.isdisjoint(words):
+                return True
+            if not LAYOUT_WORDS.isdisjoint(words):
+                word = min(words & LAYOUT_WORDS)
+    return word
 
 
 class _Builder(HTMLParser):
-    def __init__(self):
+    def __init__(self, ignored: frozenset[str] = frozenset()):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", None, False)
+        self.ignored = ignored                 # layout words that cut nothing on this page
+        self.held: dict[str, list[int]] = {}   # characters and paragraphs that only a layout word cuts off
+        self.rest = 0                          # characters not cut off
 
     def handle_starttag(self, tag, attrs):
         if tag in ("html", "body") and self.at.skip:
@@ -103,13 +129,18 @@ class _Builder(HTMLParser):
             self._close(CLOSES[tag], SCOPE - {"tr", "td", "th", "li"} if tag != "li" else SCOPE)
         if tag in ENDS_P:
             self._close(("p",), SCOPE)
-        skip = self.at.skip or _skipped(tag, attrs)
+        found = _skipped(tag, attrs)
+        if found in self.ignored:
+            found = False
+        skip = self.at.skip or bool(found)
         if tag in FORMATTING and not skip:
             return
         if tag == "br":
             self.at.parts.append(" ")
             return
         node = Node(tag, self.at, skip)
+        node.sure = self.at.sure or found is True
+        node.word = self.at.word or (found if isinstance(found, str) else None)
         self.at.children.append(node)
         self.at.parts.append(node)
         if tag not in VOID:
@@ -127,9 +158,15 @@ class _Builder(HTMLParser):
 
     def handle_data(self, data):
         at = self.at
+        n = len(data) - sum(map(data.count, " \n\t\r\f"))
         if not at.skip:
             at.parts.append(data)
-            at.own += len(data) - sum(map(data.count, " \n\t\r\f"))
+            at.own += n
+            self.rest += n
+        elif n and not at.sure:
+            held = self.held.setdefault(at.word, [0, 0])
+            held[0] += n
+            held[1] += at.tag == "p" or at.tag in HEADINGS
 
     def _pop_to(self, tag: str) -> None:
         node = self.at
@@ -148,6 +185,20 @@ class _Builder(HTMLParser):
             self.at = node.parent
 
 
+def parse(html: str) -> Node:
+    """Tree of a page. Layout words whose elements hold most of the text are ignored."""
+    ignored: frozenset[str] = frozenset()
+    while True:
+        b = _Builder(ignored)
+        b.feed(html)
+        b.close()
+        wrappers = {w for w, (chars, blocks) in b.held.items()
+                    if blocks >= WRAPPER_BLOCKS and chars > WRAPPER_SHARE * b.rest}
+        if not wrappers:
+            return b.root
+        ignored |= wrappers
+
+
 def _order(root: Node) -> list[Node]:
     """Nodes that are not cut off, parents first."""
     out, stack = [], [root]
@@ -225,6 +276,7 @@ def content(root: Node) -> list[Node | str]:
                 if bests[c] is not c:
                     entered.add(c)
                     todo.append(c)
+    _beside(marked, entered)
     out: list[Node | str] = []
     stack: list[tuple[Node | str, bool]] = [(body, False)]      # a part, and whether the text around it counts
     while stack:
@@ -244,6 +296,43 @@ def content(root: Node) -> list[Node | str]:
     return out
 
 
+def _beside(marked: set[Node], entered: set[Node]) -> None:
+    """Marks the short blocks beside marked ones."""
+    holds = set(marked)
+    for node in marked:
+        while node.parent is not None and node.parent not in holds:
+            node = node.parent
+            holds.add(node)
+
+    def plain(c: Node) -> bool:
+        return 2 * c.link_chars <= c.chars and c not in holds
+
+    for x in entered:
+        shown = [c for c in x.children if not c.skip and c.chars]
+        at = [i for i, c in enumerate(shown) if c in holds]
+        if not at:
+            continue
+        marked.update(filter(plain, shown[at[0]:at[-1]]))
+        for c in reversed(shown[:at[0]]):
+            if not (plain(c) and _heading(c)):
+                break
+            marked.add(c)
+        for c in shown[at[-1] + 1:]:
+            if not (plain(c) and c.tag == "p"):
+                break
+            marked.add(c)
+
+
+def _heading(node: Node) -> bool:
+    """Whether all text of a node stands in one heading."""
+    while node.tag not in HEADINGS:
+        shown = [c for c in node.children if not c.skip and c.chars]
+        if node.own or len(shown) != 1:
+            return False
+        node = shown[0]
+    return True
+
+
 def _text(parts: list[Node | str]) -> str:
     out: list[str] = []
     stack: list[Node | str] = list(reversed(parts))
@@ -266,10 +355,7 @@ def main_text(html: str | None) -> str:
     """Main text of one page."""
     if not html:
         return ""
-    b = _Builder()
-    b.feed(html)
-    b.close()
-    return _text(content(b.root))
+    return _text(content(parse(html)))
 
 
 def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
