@@ -2,8 +2,9 @@
 (DataFrame and SQL functions only).
 
 Candidates are strings in the format of a provider's key, private key blocks,
-values assigned to a name like ``password`` or ``token``, and long runs of key
-characters. A random forest judges each candidate by its length, character
+passwords inside addresses (``scheme://user:password@host``), values assigned to a
+name like ``password`` or ``token`` (markup may stand around name and value), and
+long runs of key characters. A random forest judges each candidate by its length, character
 transitions, coverage by dictionary words, path, and neighbouring words; what it
 rejects is a false positive. The trained trees become one SQL expression, so
 documents are judged row by row: no shuffle of texts, no hot key.
@@ -12,7 +13,10 @@ The dictionary is the ``DICTIONARY`` words of highest document frequency, counte
 over the whole corpus. The forest is trained on labelled findings: a bounded
 sample (``TRAIN_ROWS``, by hash) of the corpus's candidates that the
 labelling rules below decide, and ``SEED_ROWS`` made ones that hold each rule's
-pattern at any corpus size. A table of reviewed findings can be given instead.
+pattern at any corpus size. Training rows are put into one total order in one
+partition first (they are bounded), so the forest does not depend on how the
+documents are partitioned. Digests, commit ids and UUIDs without the name of a key
+beside them are false positives. A table of reviewed findings can be given instead.
 
 Defined cases: a null text has no candidates and stays null; a null source has
 no path words; repeated rows and null keys keep a row each; empty tables give no
@@ -43,10 +47,13 @@ PROVIDER = (r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,}|\bxox[a
             r"|\bsk_(?:live|test)_[A-Za-z0-9]{16,}|\bAIza[0-9A-Za-z_-]{35}"
             r"|\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}")
 NAMES = r"password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|client[_-]?secret|auth[_-]?token"
-ASSIGN = rf"(?i:\b[A-Za-z0-9_]*(?:{NAMES})\b[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?)"
-ASSIGNED = ASSIGN + r"[^\s\"']{6,}"
+TAGS = "(?:</?[A-Za-z]{1,10}>){0,2}"
+ASSIGN = rf"(?i:\b[A-Za-z0-9_]*(?:{NAMES})\b[\"']?{TAGS}\s{{0,3}}[:=]\s{{0,3}}{TAGS}\s{{0,3}}[\"']?)"
+ASSIGNED = ASSIGN + r"(?:[^\s\"'<]|<(?!/)){6,}+"
+ADDRESS = r"\b[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s:/@\"']{0,40}:"
+ADDRESSED = ADDRESS + r"[^\s/@\"']{4,}+(?=@)"
 GENERIC = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}"
-CANDIDATE = f"(?:{PEM}|{PROVIDER}|{ASSIGNED}|{GENERIC})"
+CANDIDATE = f"(?:{PEM}|{PROVIDER}|{ADDRESSED}|{ASSIGNED}|{GENERIC})"
 # up to two words before a candidate and what stands in its own word, from so many characters
 CONTEXT, BEFORE = r"(?:\S{1,40}\s{1,5}){0,2}\S{0,40}\z", 130
 PLACEHOLDER = "(?i)example|sample|dummy|placeholder|your|change.?me|xxxx|todo|fake|redacted|<|\\*\\*\\*"
@@ -66,8 +73,10 @@ def candidates(text: Column, source: Column) -> Column:
     """Array of (kind, value, context, source) found in a text."""
     def part(found: Column, before: Column) -> Column:
         kind = F.when(found.rlike(f"^{PEM}$"), "private key").when(found.rlike(f"^(?:{PROVIDER})$"), "provider key") \
-            .when(found.rlike(f"^{ASSIGNED}$"), "assigned").otherwise("generic")
-        value = F.when(kind == "assigned", F.regexp_replace(found, f"^{ASSIGN}", "")).otherwise(found)
+            .when(found.rlike(f"^{ADDRESS}"), "address").when(found.rlike(f"^{ASSIGNED}$"), "assigned") \
+            .otherwise("generic")
+        value = F.when(kind == "assigned", F.regexp_replace(found, f"^{ASSIGN}", "")) \
+            .when(kind == "address", F.regexp_replace(found, f"^{ADDRESS}", "")).otherwise(found)
         name = F.substring(found, F.lit(1), F.length(found) - F.length(value))
         return F.struct(kind.alias("kind"), value.alias("value"),
                         F.concat(F.regexp_extract(before, CONTEXT, 0), name).alias("context"),
@@ -90,7 +99,8 @@ def candidates(text: Column, source: Column) -> Column:
 
 def features(c: Column, words: list[str]) -> Column:
     """What the forest sees of a candidate, as an array of doubles."""
-    value, context = c["value"], c["context"]
+    # markup around a name or value is no neighbouring word
+    value, context = c["value"], F.regexp_replace(c["context"], "</?[A-Za-z]{1,10}>", "")
     n = F.length(value).cast("double")
 
     def share(pattern: str) -> Column:
@@ -111,7 +121,7 @@ def features(c: Column, words: list[str]) -> Column:
         share("(.)(?=\\1)"),
         share("[0-9]"), share("[A-Z]"),
         F.size(F.array_distinct(F.split(value, ""))) / n,
-        flag(value.rlike("^[0-9a-fA-F]+$")),
+        flag(value.rlike("^[0-9a-fA-F-]+$")),          # a digest, a commit id or a UUID
         covered,
         # path: inside an address or a file path, or in a source that holds examples
         flag(value.rlike("/|\\.[a-z]{2,4}$") | context.rlike("(?:[:/.@]|://\\S*)$")),
@@ -120,16 +130,17 @@ def features(c: Column, words: list[str]) -> Column:
         flag(context.rlike(f"(?i)(?:\\b[A-Za-z0-9_]*(?:{NAMES})|(?:\\b|_)(?:key|bearer|auth))\\b")),
         flag(context.rlike("[:=]\\s{0,3}[\"']?$")),
         flag(F.concat(context, value).rlike(PLACEHOLDER)),
-        flag(c["kind"].isin("provider key", "private key")))
+        flag(c["kind"].isin("provider key", "private key")),
+        flag(c["kind"] == "address"))
 
 
 def rule_label(c: Column, f: Column) -> Column:
     """Labelling rules: 1 secret, 0 false positive, null undecided."""
-    placeholder, provider = f[13] == 1, f[14] == 1
-    return F.when(provider & ~placeholder, 1.0) \
+    placeholder, provider, address = f[13] == 1, f[14] == 1, f[15] == 1
+    return F.when((provider | address) & ~placeholder, 1.0) \
         .when(placeholder | (f[8] >= 0.5) | (f[6] < 0.2), 0.0) \
         .when((c["kind"] == "assigned") & (f[0] >= 12) & (f[4] > 0.1) & (f[4] < 1) & (f[1] > 0.15), 1.0) \
-        .when((c["kind"] == "generic") & (f[11] == 0) & ((f[4] == 0) | (f[4] == 1) | (f[9] == 1)), 0.0)
+        .when((c["kind"] == "generic") & (f[11] == 0) & ((f[4] == 0) | (f[4] == 1) | (f[7] == 1) | (f[9] == 1)), 0.0)
 
 
 def seed_findings(spark: SparkSession, words: list[str], n: int = SEED_ROWS) -> DataFrame:
@@ -151,6 +162,14 @@ def seed_findings(spark: SparkSession, words: list[str], n: int = SEED_ROWS) ->
     assigned = F.concat_ws(" ", word(2), F.concat(name, sep))
     plain = F.concat(word(3), F.lit(" "), word(4), F.lit(" "))
     size = (F.pmod(F.xxhash64(F.lit(5), i), F.lit(28)) + 12).cast("int")
+    labels = F.element_at(F.array(*map(F.lit, ("commit ", "sha256:", "checksum: ", "etag ", "id=", "revision "))),
+                          (F.pmod(F.xxhash64(F.lit(11), i), F.lit(6)) + 1).cast("int"))
+    told = F.when(F.pmod(F.xxhash64(F.lit(12), i), F.lit(3)) > 0, labels).otherwise(plain)
+    width = F.element_at(F.array(*map(F.lit, (32, 40, 64))), (F.pmod(F.xxhash64(F.lit(10), i), F.lit(3)) + 1).cast("int"))
+    uuid = F.concat_ws("-", *[F.substring(digest(6), at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    keyed = F.concat(word(2), F.element_at(F.array(*map(F.lit, (" key ", " Bearer ", " auth "))),
+                                           (F.pmod(F.xxhash64(F.lit(13), i), F.lit(3)) + 1).cast("int")))
+    address = F.concat(word(2), F.lit(" postgres://"), word(3), F.lit(":"))
     rows = [
         ("assigned", F.substring(digest(2), F.lit(1), size), assigned, 1.0),
         ("assigned", F.substring(mixed, F.lit(1), size), assigned, 1.0),
@@ -158,6 +177,11 @@ def seed_findings(spark: SparkSession, words: list[str], n: int = SEED_ROWS) ->
         ("provider key", F.concat(F.lit("ghp_"), F.substring(mixed, 1, 36)), plain, 1.0),
         ("private key", F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), F.repeat(F.concat(mixed, F.lit("+/\n")), (F.pmod(i, F.lit(40)) + 1).cast("int")),
                                  F.lit("-----END RSA PRIVATE KEY-----")), plain, 1.0),
+        ("address", F.substring(mixed, F.lit(1), F.pmod(size, F.lit(20)) + 6), address, 1.0),
+        ("generic", F.substring(mixed, F.lit(1), size + 12), keyed, 1.0),
+        ("generic", F.substring(digest(7), F.lit(1), width), told, 0.0),
+        ("generic", uuid, told, 0.0),
+        ("generic", F.concat(F.lit("sha512-"), F.base64(F.unhex(F.concat(digest(8), digest(9))))), told, 0.0),
         ("assigned", F.concat(word(5), F.lit("_"), word(6)), assigned, 0.0),
         ("assigned", F.concat(F.lit("your_"), name, F.lit("_here")), assigned, 0.0),
         ("assigned", F.concat(word(6), word(7), word(8)), assigned, 0.0),
@@ -192,8 +216,9 @@ def labelled_findings(docs: DataFrame, words: list[str], text: str = "text", sou
 
 
 def train(labelled: DataFrame) -> RandomForestClassificationModel:
-    """Forest of labelled findings (x, label)."""
-    rows = labelled.select(array_to_vector("x").alias("features"), "label")
+    """Forest of labelled findings (x, label), the same for any layout of them."""
+    rows = labelled.select("x", "label").repartition(1).sortWithinPartitions("x", "label") \
+        .select(array_to_vector("x").alias("features"), "label")
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=FOREST_SEED, featureSubsetStrategy="sqrt").fit(rows)
 
 

@@ -382,6 +382,34 @@ def test_adjacent_and_env_style_secrets(spark):
     assert context[1, LONG] == f"{AKIA}\naws_secret_access_key="
 
 
+SEEN = ["postgres://user:S3cr3tPazz9@host/db", f"Authorization: Bearer {LONG}", "<b>password</b>: <code>9f8c2b7de1a04c55aa</code>",
+        "mysql://root:hunter2Hunter@10.0.0.3:3306", 'api_key: "q8Zt7PwL0vBn3XcM"', "client_secret = 7Gh2kLm9PqR4sTv8Wx"]
+UNSEEN = ["commit 9fceb02d0ae598e95dc970b74767f19372d61af8 by", "id 550e8400-e29b-41d4-a716-446655440000 of", "digest d41d8cd98f00b204e9800998ecf8427e",
+          "sha256:e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855", "https://example.org:8080/a/long/path/of/words",
+          "sha512-z4PhNX7vuL3xVChQ1m2AB9Yg5AULVxXcg/SpIdNs6c5H0NE8XYXysP+DGNKHfuwvY7kxvUdBeoGlODJ6+SfaPg==", "ftp://user@host/path/to/a/file"]
+
+
+def test_findings_of_no_generator(spark):
+    rows = [(k, f"Some words before {s} and after it.") for k, s in enumerate(SEEN + UNSEEN)]
+    rows += [(50, "a://b:" * 40_000), (51, "<b>" * 40_000 + "password</b>: <i>"), (52, "x://u:" + "p" * 300_000)]
+    got = {r["doc_id"]: r["secrets"] for r in secrets.scan(table(spark, rows)).collect()}
+    assert [len(got[k]) for k in range(len(SEEN))] == [1] * len(SEEN)
+    assert got[0] == ["S3cr3tPazz9"] and got[2] == ["9f8c2b7de1a04c55aa"]
+    assert [got[k] for k in range(len(SEEN), len(SEEN + UNSEEN))] == [[]] * len(UNSEEN)
+
+
+def test_forest_does_not_depend_on_the_layout(spark, sf_small):
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet").select("doc_id", "text", "source")
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (3, 11):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append(sorted(map(str, secrets.query(docs.repartition(n)).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1]
+
+
 def test_forest_on_held_out_findings(spark):
     c = F.struct("kind", "value", "context", "source")
     made = secrets.seed_findings(spark, [], 2400).withColumn("x", secrets.features(c, ["ordinary", "running", "letters", "without", "meaning"])) \
