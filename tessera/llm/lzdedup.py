@@ -19,10 +19,11 @@ their own hash. Blocks are read as sorted streams; only one anchor's index is
 held at a time. No broadcast but the split anchors, of which there are at most
 ``SPLIT_SHARE``.
 
-Window equality is equality of the anchor's 64-bit hash and of 32 further bits.
-Defined cases: a null text has no words; rows that share a doc_id but not the
+Window equality is equality of 64 hash bits (inside a slice those of the window, in a
+block a mix of its anchor's and of 32 of its own).
+Defined cases: a null text has no words; ids are whole numbers of at most 64 bits; rows that share a doc_id but not the
 text are told apart and none of their windows is earlier by doc_id; a null
-doc_id stands after all others; equal rows get equal results; texts of any
+doc_id stands after all others, with 2^63 - 1; equal rows get equal results; texts of any
 length are taken whole; empty tables give no rows.
 """
 
@@ -45,7 +46,7 @@ GRAM = 10
 SLICE_BYTES = 6 << 20
 SPLIT_SHARE = 100_000      # an anchor with over 1/SPLIT_SHARE of all pieces is split
 SPLIT_LEAST = 10_000       # and at least so many pieces
-LAST = np.int64(2**63 - 1)  # stands for a null doc_id
+LAST = np.int64(2**63 - 1)  # where a null doc_id stands
 PIECES = "k bigint, d bigint, v bigint, pos int, n int, ext binary"
 
 
@@ -197,17 +198,19 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     stay, joined by one space."""
     spark = docs.sparkSession
     ship(spark)
-    twice = docs.groupBy(key).count().filter("count > 1").limit(1).count() > 0
+    place = F.coalesce(F.col(key).cast("bigint"), F.lit(int(LAST)))
+    twice = docs.groupBy(place).count().filter("count > 1").limit(1).count() > 0
     # rows with one doc_id are told apart by their text, only where there are such rows
     version = F.xxhash64(F.coalesce(F.col(text), F.lit(""))) if twice else F.lit(0).cast("bigint")
     base = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    keyed = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(int(LAST))).alias("d"), version.alias("v"),
-                        F.col(text).alias("text"))
+    keyed = docs.select(place.alias("d"), version.alias("v"), F.col(text).alias("text"),
+                        F.col(key).isNull().alias("null_id"))
+    placed = keyed.select("d", "v", "text")
     if twice:
-        found = duplicate_spans(keyed.dropDuplicates(["d", "v"]))
+        found = duplicate_spans(placed.dropDuplicates(["d", "v"]))
     else:
-        found = duplicate_spans(keyed, versions=False)
-    joined = keyed.withColumn("null_id", F.col("d") == F.lit(int(LAST))).join(found, ["d", "v"], "left") \
+        found = duplicate_spans(placed, versions=False)
+    joined = keyed.join(found, ["d", "v"], "left") \
         .select(F.when(~F.col("null_id"), F.col("d")).cast(base.schema["doc_id"].dataType).alias("doc_id"),
                 "text", "starts", "counts")
 

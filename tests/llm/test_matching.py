@@ -184,3 +184,10 @@ def test_substring_dedup_with_split_anchors_and_small_slices(spark, monkeypatch)
     monkeypatch.setattr(lzdedup, "SPLIT_SHARE", 10_000_000)
     got = lzdedup.digests(table(spark, rows).repartition(3)).collect()
     same(got, [want[r] for r in rows])
+
+
+def test_substring_dedup_keeps_the_largest_id(spark):
+    words = " ".join(f"w{k}" for k in range(30))
+    rows = [(2**63 - 1, words), (None, "a text without an id"), (1, words + " more")]
+    got = {(r["doc_id"], r["n_words"], r["n_removed"]) for r in lzdedup.digests(table(spark, rows)).collect()}
+    assert got == {(2**63 - 1, 30, 30), (None, 5, 0), (1, 31, 0)}
