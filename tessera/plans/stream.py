@@ -15,14 +15,17 @@ from tessera.streaming import attempts as SA
 from tessera.streaming import gate as SG
 
 
-def _documents(spark, d):
+def _documents(spark, d, **options):
+    # a table is one file or a folder of files; as a pattern the path may be either
+    # (a plain path to a stream must be a folder)
     schema = table(spark, d, "documents").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet")
-            .option("maxFilesPerTrigger", 1).parquet(d))
+    return spark.readStream.schema(schema).options(**options).parquet(f"{d}/{{documents}}.parquet")
 
 
 @register("stream_attempts", RESOLVED)
 def stream_attempts(spark, d):
+    # files are in no order of event time: all of them are one batch, else the watermark
+    # of one drops the rows of the next
     s = FX.samples_from(_documents(spark, d)).withColumn("prompt", prompt_text())
     arriving = FX.attempts_from(FX.responses_from(s, "prompt"), "prompt") \
         .withColumn("event_time", F.timestamp_seconds(F.col("prompt_id") * 60 + F.col("attempt")))
@@ -33,8 +36,8 @@ def stream_attempts(spark, d):
 
 @register("stream_gate", RESP + _GATE)
 def stream_gate(spark, d):
-    src = _documents(spark, d)
-    resp = FX.responses_from(FX.samples_from(src)).select("sample_id", "response")
+    src = _documents(spark, d, maxFilesPerTrigger=1)
+    gated = SG.gate_stream(FX.responses_from(FX.samples_from(src)).select("sample_id", "response"))
     out = SK.scratch_path(spark, "stream_gate")
-    SG.run_available(spark, SG.gate_stream(resp), out)
-    return spark.read.parquet(out)
+    SG.run_available(spark, gated, out)
+    return spark.read.schema(gated.schema).parquet(out)

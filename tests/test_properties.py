@@ -52,6 +52,20 @@ def test_stream_equals_batch(spark):
     assert b.select(cols).exceptAll(a.select(cols)).count() == 0
 
 
+def test_stream_reads_a_table_of_several_files(spark, tmp_path):
+    """``documents`` is one file or a folder of files, in no order of time."""
+    docs = spark.createDataFrame(
+        [(i, f"select {i} from t{i}" if i % 3 else f"text {i}", "en", f"src{i % 4}", 10) for i in range(200)],
+        "doc_id long, text string, lang string, source string, n_chars int")
+    docs.repartition(5, "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    q = E.queries()
+    for stream, batch in (("stream_gate", "gate_responses"), ("stream_attempts", "resolve_attempts")):
+        a, b = q[stream](spark, str(tmp_path)), q[batch](spark, str(tmp_path))
+        cols = sorted(b.columns)
+        assert a.count() == 200
+        assert a.select(cols).exceptAll(b.select(cols)).count() == 0
+
+
 def test_sinks_write_every_row(spark):
     q = E.queries()
     assert q["write_jsonl"](spark, SF_MID).count() == 1000
