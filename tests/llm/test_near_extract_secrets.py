@@ -126,6 +126,48 @@ def test_the_bound_is_never_below_the_similarity(spark):
         assert r.most >= weighted(texts[int(r.i)], texts[int(r.j)], idf)
 
 
+def test_a_group_of_edited_copies_costs_few_comparisons(spark, monkeypatch):
+    rng = random.Random(31)
+    base = [f"w{rng.randrange(4000)}" for _ in range(200)]
+    rows = []
+    for i in range(160):                                   # from light edits to so heavy ones that no text is near
+        w = list(base)
+        for k in rng.sample(range(200), i % 12):
+            w[k] = f"e{i}x{k}"
+        rows.append((i, " ".join(w)))
+    real_keys, real_verify, pairs = icws.band_keys, icws._verify, []
+
+    def one_bucket(data, offs, idf):
+        keys, *rest = real_keys(data, offs, idf)
+        return keys[:, :1] * 0, *rest
+
+    def counted(asked, texts, idf):
+        out = real_verify(asked, texts, idf)
+        pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(icws, "band_keys", one_bucket)
+    monkeypatch.setattr(icws, "_verify", counted)
+    docs = table(spark, rows)
+    idf = icws.idf_table(docs, "text")
+    parent = {i: i for i, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    near = 0
+    for (i, a), (j, b) in itertools.combinations(rows, 2):
+        if weighted(a, b, idf) >= icws.THRESHOLD:
+            near += 1
+            x, y = find(i), find(j)
+            parent[max(x, y)] = min(x, y)
+    same([(r["doc_id"], r["class_id"]) for r in icws.classes(docs).collect()], [(i, find(i)) for i, _ in rows])
+    assert near > 10 * len(rows) / 2 and len({find(i) for i, _ in rows}) > 20
+    assert sum(pairs) < 4 * len(rows)
+
+
 def test_near_dedup_keeps_one_of_each_class(spark):
     rows = near_rows()
     docs = table(spark, rows)
