@@ -168,6 +168,27 @@ def test_a_group_of_edited_copies_costs_few_comparisons(spark, monkeypatch):
     assert sum(pairs) < 4 * len(rows)
 
 
+def test_plans_do_not_grow_with_the_rounds(spark, monkeypatch):
+    rng = random.Random(17)
+    rows = [(i, " ".join(f"w{rng.randrange(60)}" for _ in range(40))) for i in range(40)]
+    real_keys, real_keep, scans = icws.band_keys, icws._Store.keep, []
+
+    def one_bucket(data, offs, idf):
+        keys, *rest = real_keys(data, offs, idf)
+        return keys[:, :1] * 0, *rest
+
+    def counted(store, df):
+        scans.append(df._jdf.queryExecution().optimizedPlan().collectLeaves().size())
+        return real_keep(store, df)
+
+    monkeypatch.setattr(icws, "MOST_LEADERS", 4)            # few leaders a round: many rounds
+    monkeypatch.setattr(icws, "tightened", lambda shape, asked, texts, idf: shape)
+    monkeypatch.setattr(icws, "band_keys", one_bucket)
+    monkeypatch.setattr(icws._Store, "keep", counted)
+    same([(r["doc_id"], r["class_id"]) for r in icws.classes(table(spark, rows)).collect()], [(i, i) for i, _ in rows])
+    assert len(scans) > 40 and max(scans) <= 16
+
+
 def test_near_dedup_keeps_one_of_each_class(spark):
     rows = near_rows()
     docs = table(spark, rows)
