@@ -189,6 +189,61 @@ def test_plans_do_not_grow_with_the_rounds(spark, monkeypatch):
     assert len(scans) > 40 and max(scans) <= 16
 
 
+def test_a_large_group_of_edited_copies_needs_few_rounds(spark, monkeypatch):
+    rng = random.Random(41)
+    base = [f"w{rng.randrange(4000)}" for _ in range(200)]
+    rows = []
+    for i in range(120):                                   # up to half of the shingles are of one text alone
+        w = list(base)
+        for k in rng.sample(range(200), i % 24):
+            w[k] = f"e{i}x{k}"
+        rows.append((i, " ".join(w)))
+    real_keys, real_verify, stores, pairs = icws.band_keys, icws._verify, [], []
+
+    def one_bucket(data, offs, idf):
+        keys, *rest = real_keys(data, offs, idf)
+        return keys[:, :1] * 0, *rest
+
+    class Counted(icws._Store):
+        def __init__(self, spark):
+            super().__init__(spark)
+            stores.append(self)
+
+    def counted(asked, texts, idf):
+        pairs.append(asked.count())
+        return real_verify(asked, texts, idf)
+
+    monkeypatch.setattr(icws, "MOST_LEADERS", 16)
+    monkeypatch.setattr(icws, "band_keys", one_bucket)
+    monkeypatch.setattr(icws, "_Store", Counted)
+    monkeypatch.setattr(icws, "_verify", counted)
+    docs = table(spark, rows)
+    idf = icws.idf_table(docs, "text")
+    parent = {i: i for i, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for (i, a), (j, b) in itertools.combinations(rows, 2):
+        if weighted(a, b, idf) >= icws.THRESHOLD:
+            x, y = find(i), find(j)
+            parent[max(x, y)] = min(x, y)
+    same([(r["doc_id"], r["class_id"]) for r in icws.classes(docs).collect()], [(i, find(i)) for i, _ in rows])
+    assert sum(pairs) < len(rows) and stores[0].n <= 36
+
+
+def test_a_star_is_its_component_at_once(spark):
+    store = icws._Store(spark)
+    links = spark.createDataFrame([(f"n{k:03d}", "n000") for k in range(1, 50)] + [("z", "y")], "a string, b string")
+    got = icws.components(store, links).collect()
+    same(got, [(f"n{k:03d}", "n000") for k in range(1, 50)] + [("z", "y")])
+    assert store.n == 1
+    chain = spark.createDataFrame([(f"n{k:03d}", f"n{k + 1:03d}") for k in range(20)], "a string, b string")
+    same(icws.components(store, chain).collect(), [(f"n{k:03d}", "n000") for k in range(1, 21)])
+
+
 def test_near_dedup_keeps_one_of_each_class(spark):
     rows = near_rows()
     docs = table(spark, rows)
