@@ -81,3 +81,33 @@ def test_decisions():
     assert A._decide([3, 1, 2], [A.LOOP, A.NOTHING, A.NOTHING], None, None, True, False, 3)[:2] == ("fallback", 3)
     assert A._decide([1], [A.LOOP], None, None, None, True, 3) == ("fallback", 1, None)
     assert A._decide([1, 2], [A.LOOP, A.NOTHING], None, None, True, True, 3) == ("none", 2, None)
+
+
+def test_prompts_of_a_group_share_state_and_keep_their_own_timers(spark, monkeypatch):
+    monkeypatch.setattr(A, "GROUPS", 2)
+    big = 2 ** 60                            # keys beyond the whole numbers of floats
+    src, out, ck = folder("src"), folder("out"), folder("ck")
+    options = {"delay": "1 second", "time_out_seconds": 60}
+
+    def run_on():
+        source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
+        q = A.write_available(spark, A.resolve_attempt_stream(source, prompt="prompt", **options), out, ck)
+        assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) <= 2     # a value for each group, not each prompt
+        return {r["prompt_id"] for r in spark.read.parquet(out).collect()}
+
+    # of each three prompts the second has a loop and nothing, the others a good attempt
+    early = [row(big + p, a, ["", "good", LOOP][(p + a) % 3], p) for p in range(30) for a in (1, 2)]
+    good = {r[0] for r in early if r[2] == "good"}
+    arrive(spark, [*early, (None, 1, "keyless", None, at(3), "get")], src)
+    assert run_on() == good | {None}
+    # time passes, then the same groups get rows: 1, 4 and 7 time out, the others still wait
+    late = row(big + 28, 3, "late but in time", 70)
+    arrive(spark, [late], src)
+    more = [row(big + p, 1, "more", 71) for p in range(100, 120)]
+    arrive(spark, more, src)
+    assert run_on() == good | {None, big + 1, big + 4, big + 7, big + 28} | {r[0] for r in more}
+    last = row(big + 200, 1, "x", 200)
+    arrive(spark, [last], src)
+    run_on()
+    got = spark.read.parquet(out).filter("prompt_id IS NOT NULL").collect()
+    assert sorted(map(tuple, got)) == batch(spark, [*early, late, *more, last])
