@@ -279,6 +279,41 @@ BODY = """<%s><h1>A title</h1><p>Fir<b>st</b> para&shy;graph &lt;one&gt;,\n with
 WANT = "A title First para\xadgraph <one>, with a link. New line Second, unclosed é item one item two Last — one that is quite a bit longer than the others."
 
 
+def test_samples_work_out_few_shingles(monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices("abcdefghij" if k % 7 else "ab", k=rng.randrange(0, 900))) for k in range(120)] + ["", "one two", "x " * 3000, None]
+    data, offs = next(tc.utf8_slices(pa.array(texts, pa.string())))[2:]
+    idf = np.random.default_rng(2).uniform(1, 1 + icws.IDF_GAIN, icws.BUCKETS).astype(np.float32)
+    idf[::9] = 1 + icws.IDF_GAIN
+    h, tf, at = icws.term_counts(*icws.shingles(data, offs))
+    # every value of every shingle, text by text
+    odd, r_pool, c_pool, b_pool = icws._pools()
+    ln_s = np.log(tf * idf[icws._bucket(h)]).astype(np.float32)
+    low = tc.mix64(h + tc.U64(1)) >> tc.U64(32)
+    want = np.zeros((len(texts), icws.BANDS), tc.U64)
+    for k in range(icws.BANDS * icws.ROWS):
+        x = ((h * odd[k]) >> tc.U64(48)).astype(np.int64)
+        r, beta = r_pool[k][x], b_pool[k][x]
+        value = c_pool[k][x] - r * (np.floor(ln_s / r + beta) - beta) - r
+        for d in np.flatnonzero(np.diff(at)):
+            mine = slice(at[d], at[d + 1])
+            order = np.lexsort((low[mine], value[mine]))[0] + at[d]
+            bits = int(value[order].view(np.uint32))
+            bits = bits ^ 0xFFFFFFFF if bits >> 31 else bits | 1 << 31
+            key = want[d, k // icws.ROWS:k // icws.ROWS + 1]
+            key[:] = tc.mix64(key * tc.U64(0x9E3779B97F4A7C15) + tc.U64(bits << 32 | int(low[order])) + tc.U64(k + 1))
+    icws._POOLS.clear()
+    icws.band_keys(data, offs, idf)
+    worked_out, real = [], icws._samples
+    monkeypatch.setattr(icws, "_samples", lambda ln_s, *pools: worked_out.append(len(ln_s)) or real(ln_s, *pools))
+    keys, some, weight = icws.band_keys(data, offs, idf)
+    assert (keys == want).all() and (some == (np.diff(at) > 0)).all()
+    assert np.allclose(weight, np.bincount(tc.owner(at), tf * idf[icws._bucket(h)].astype(np.float64), len(texts)))
+    once = int((tf == 1).sum()) * icws.BANDS * icws.ROWS
+    assert sum(worked_out) - 2 * int((tf > 1).sum()) * icws.BANDS * icws.ROWS < once / 4
+
+
+
 @pytest.mark.parametrize("tag", ["article", "main", "div"])
 def test_main_text(tag):
     assert extract.main_text(PAGE % (BODY % (tag, tag))) == WANT
